@@ -1,6 +1,6 @@
 """Queries of this package and, where SQL can express them over whole tables, the SQL that checks them."""
 
-from . import leaks, neardup, packing, pieces, sharedspans, splits
+from . import canonical, encodings, leaks, neardup, packing, pieces, sharedspans, splits
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,10 @@ QUERIES = {
         pieces.p2_pieces,
         neardup.p4_found,
         neardup.p4_groups,
+        canonical.p5_found,
+        canonical.p5_mapped,
+        encodings.p7_found,
+        encodings.p7_restored,
         packing.p8_found,
         packing.p8_containers,
         leaks.p9_found,
