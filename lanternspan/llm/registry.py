@@ -1,6 +1,6 @@
 """Queries of this package and, where SQL can express them over whole tables, the SQL that checks them."""
 
-from . import canonical, encodings, leaks, neardup, packing, pieces, sharedspans, splits
+from . import canonical, encodings, languages, leaks, neardup, packing, pieces, pii, sharedspans, splits
 
 QUERIES = {
     f.__name__: f
@@ -9,10 +9,14 @@ QUERIES = {
         splits.p1_splits,
         pieces.p2_found,
         pieces.p2_pieces,
+        languages.p3_found,
+        languages.p3_segments,
         neardup.p4_found,
         neardup.p4_groups,
         canonical.p5_found,
         canonical.p5_mapped,
+        pii.p6_found,
+        pii.p6_redacted,
         encodings.p7_found,
         encodings.p7_restored,
         packing.p8_found,
