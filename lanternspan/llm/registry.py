@@ -32,6 +32,22 @@ QUERIES = {
 _W = r"[\p{L}\p{N}]+"
 
 SQL = {
+    "p1_found": """
+        WITH RECURSIVE r AS (SELECT DISTINCT lower(trim(record_id)) AS r, author_id AS a FROM documents WHERE trim(record_id) <> '' AND author_id IS NOT NULL),
+        e AS (SELECT DISTINCT x.a AS a, y.a AS b FROM r x JOIN r y ON x.r = y.r),
+        t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+        g AS (SELECT a, min(b) AS g FROM t GROUP BY a),
+        n AS (SELECT g, count(DISTINCT r) AS n FROM r JOIN g USING (a) GROUP BY g)
+        SELECT DISTINCT feature_id, g AS group_author FROM chunk_records
+        JOIN r ON r.r = lower(trim(split_part(feature_id, '::chunk-', 1))) JOIN g USING (a) JOIN n USING (g) WHERE n >= 2
+    """,
+    "p4_found": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS w FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS s FROM w, unnest(generate_series(1, len(w) - 2)) AS g(k) WHERE len(w) >= 40),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
+        SELECT doc_a, doc_b FROM p JOIN n a ON a.doc_id = doc_a JOIN n b ON b.doc_id = doc_b WHERE c >= 0.7 * (a.n + b.n - c)
+    """,
     "p2_found": """
         SELECT 'document' AS item_kind, cast(doc_id AS varchar) AS item_key FROM documents WHERE length(text) > 6000
         UNION SELECT 'chunk', feature_id FROM chunk_records WHERE length(text) > 1200 AND feature_id IS NOT NULL
