@@ -43,7 +43,7 @@ def span_key(normalized: Column, span: Column) -> Column:
 
 
 def drop_span(label: Column, t: Column) -> Column:
-    """Whether a span is unwanted; t: a column that holds span_key. Without a label or any text it stays."""
+    """Whether a span is unwanted; t: the span_key. Without a label or any text it stays."""
     lab = F.upper(tx.stringify(label))
     return (
         F.when((lab == "") | (t == ""), False)
@@ -59,9 +59,8 @@ def drop_span(label: Column, t: Column) -> Column:
 
 
 def wanted(df: DataFrame, label: str = "label", normalized: str = "normalized", text: str = "text") -> DataFrame:
-    """The spans that aren't unwanted. The key is a column of its own, so that it is computed once for each span."""
-    d = df.withColumn("_key", span_key(F.col(normalized), F.col(text)))
-    return d.where(~drop_span(F.col(label), F.col("_key"))).drop("_key")
+    """The spans that aren't unwanted. The key is bound once for each span, so the many tests of it don't repeat it."""
+    return df.where(~F.exists(F.array(span_key(F.col(normalized), F.col(text))), lambda t: drop_span(F.col(label), t)))
 
 
 def trim_span(df: DataFrame, text: str = "text", start: str = "start", normalized: str = "normalized", prefixes=lx.NOISY_PREFIXES) -> DataFrame:

@@ -338,7 +338,7 @@ SQL = {
     "term_counts": f"SELECT label, term, cast(sum(k) AS bigint) AS n, count(*) AS documents FROM (SELECT doc_id, label, term, {_TERM_COUNT} AS k FROM documents, (VALUES {_TERMS}) AS v(label, term) WHERE text IS NOT NULL) WHERE k > 0 GROUP BY 1, 2",
     "flagship": f"WITH {_DEFS}, k AS (SELECT doc_id, label, len(regexp_extract_all(regexp_replace(lower(t), '([^A-Za-z0-9])', '\\1\\1', 'g'), '(?:^|[^A-Za-z0-9])' || regexp_escape(regexp_replace(term, '([^A-Za-z0-9])', '\\1\\1', 'g')) || '(?:$|[^A-Za-z0-9])')) AS k FROM z, (VALUES {_TERMS}) AS v(label, term) WHERE drop_reason IS NULL) SELECT label, cast(sum(k) AS bigint) AS spans, count(DISTINCT doc_id) AS documents FROM k WHERE k > 0 GROUP BY 1",
     "regex_spans": r"SELECT doc_id, cast(len(a) + len(b) AS bigint) AS n, cast(list_sum(list_transform(list_concat(a, b), lambda x: length(x))) AS bigint) AS chars FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\brelease \d+\.\d+\b') AS a, regexp_extract_all(text, '(?i)\bversion \d+\b') AS b FROM documents WHERE text IS NOT NULL) WHERE len(a) + len(b) > 0",
-    "line_activity": rf'''WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, i, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS at FROM l, unnest(generate_series(1, len(ls))) AS g(i)), s AS (SELECT *, {_strip('line')} AS s, at + length(line) - length(regexp_replace(line, '^{_S}+', '')) AS start FROM u) SELECT doc_id, cast(start AS integer) AS start, cast(start + length(s) AS integer) AS "end", md5(s) AS digest FROM s WHERE length(s) BETWEEN 18 AND 180 AND regexp_matches(lower(regexp_replace(s, '^[\-\*\d\.\)\t\n\f\r\x0b ]+', '')), '^(?:built|cut |handled |extended |monitored |we |you |it''s )')''',
+    "line_activity": rf'''WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, i, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS ahead FROM l, unnest(generate_series(1, len(ls))) AS g(i)), s AS (SELECT *, {_strip('line')} AS s, ahead + length(line) - length(regexp_replace(line, '^{_S}+', '')) AS start FROM u) SELECT doc_id, cast(start AS integer) AS start, cast(start + length(s) AS integer) AS "end", md5(s) AS digest FROM s WHERE length(s) BETWEEN 18 AND 180 AND regexp_matches(lower(regexp_replace(s, '^[\-\*\d\.\)\t\n\f\r\x0b ]+', '')), '^(?:built|cut |handled |extended |monitored |we |you |it''s )')''',
     "chunk_documents": rf"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
         w(doc_id, text, n, k, cur, a, b) AS (
             SELECT doc_id, text, n, -1, 0, 0, 0 FROM d WHERE n > 1400
