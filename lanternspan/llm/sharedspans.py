@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, char_codes, in_batches, mix64, table_bytes
+from .common import Scratch, arrow_rows, char_codes, mix64, table_bytes
 
 #: Perfect difference sets; each residue modulo the period is a difference of two members.
 COVERS = {
@@ -93,6 +94,24 @@ def settle(h, c, doc, flag):
     return out, order, run, shared
 
 
+def squeeze(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of unsigned numbers, byte by byte; equal high bytes so lie together and compress."""
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw[:, :width].T).tobytes())
+
+
+def unsqueeze(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
+
+
+#: Bytes sent of the hashes of anchors, contexts and stretches (the bucket tells some more bits). An anchor met by
+#: chance is compared again; a context or stretch is taken for equal.
+ANCHOR_BYTES, CONTEXT_BYTES, STRETCH_BYTES = 6, 5, 7
+
+
 class _Sender:
     """Gathers (hash, context, document, position) of a task, settles what it can and sends the rest by hash bucket.
 
@@ -138,13 +157,18 @@ class _Sender:
             i = at[edges[k] : edges[k + 1]]
             if len(i):
                 ids, local = np.unique(doc[i], return_inverse=True)
-                rows.append((k, None, pos[i].tobytes(), flag[i].tobytes(), h[i].tobytes() + (c[i].tobytes() if self.contexts else b""), local.astype(np.uint32).tobytes(), ids.tobytes()))
+                by = np.lexsort((pos[i], local))
+                i, local = i[by], local[by]
+                step = np.diff(pos[i].astype(np.int64), prepend=0)
+                step[np.flatnonzero(np.diff(local, prepend=-1))] = pos[i][np.flatnonzero(np.diff(local, prepend=-1))]
+                hashes = squeeze(h[i], ANCHOR_BYTES if self.contexts else STRETCH_BYTES)
+                rows.append((k, None, squeeze(step, 4), squeeze(flag[i], 1), hashes, squeeze(c[i], CONTEXT_BYTES) if self.contexts else None, ids.astype(np.int64).tobytes() + np.bincount(local).astype(np.uint32).tobytes()))
         for i in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 500]), (pa.int32(), pa.int64(), *[pa.binary()] * 5))], _SENT_NAMES)
 
 
-_SENT = "bucket int, doc bigint, pos binary, state binary, h binary, local binary, ids binary"
-_SENT_NAMES = ["bucket", "doc", "pos", "state", "h", "local", "ids"]
+_SENT = "bucket int, doc bigint, pos binary, state binary, h binary, c binary, ids binary"
+_SENT_NAMES = ["bucket", "doc", "pos", "state", "h", "c", "ids"]
 
 
 def _by(doc, *cols):
@@ -165,10 +189,16 @@ def _receiver(contexts: bool):
             if r["bucket"] < 0:
                 known.append((r["doc"], r["pos"], r["state"]))
             else:
-                pos = np.frombuffer(r["pos"], np.uint32)
-                h = np.frombuffer(r["h"], np.uint64)
-                c = h[len(pos) :] if contexts else np.zeros(len(pos), np.uint64)
-                met.append((h[: len(pos)], c, np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["local"], np.uint32)], np.frombuffer(r["state"], np.uint8), pos))
+                h = unsqueeze(r["h"], ANCHOR_BYTES if contexts else STRETCH_BYTES)
+                c = unsqueeze(r["c"], CONTEXT_BYTES) if contexts else np.zeros(len(h), np.uint64)
+                ids = r["ids"]
+                n = len(ids) // 12
+                ids, counts = np.frombuffer(ids[: 8 * n], np.int64), np.frombuffer(ids[8 * n :], np.uint32)
+                total = np.cumsum(unsqueeze(r["pos"], 4).astype(np.int64))
+                first = np.cumsum(counts) - counts
+                base = np.where(first > 0, total[first - 1], 0)
+                pos = (total - np.repeat(base, counts)).astype(np.uint32)
+                met.append((h, c, np.repeat(ids, counts), unsqueeze(r["state"], 1).astype(np.uint8), pos))
         if met:
             h, c, doc, flag, pos = (np.concatenate(x) for x in zip(*met))
             state = settle(h, c, doc, flag)[0]
@@ -208,7 +238,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             at = at[at + w <= n]
             c = np.zeros(len(at), np.uint64)
             inner = (at >= v - 1) & (at + length <= n)
-            c[inner] = window_hashes(prefix, down, at[inner] - (v - 1), length + v - 1)
+            c[inner] = np.maximum(window_hashes(prefix, down, at[inner] - (v - 1), length + v - 1) & np.uint64((1 << 8 * CONTEXT_BYTES) - 1), np.uint64(1))
             sender.add(window_hashes(prefix, down, at, w), c, doc, at)
             if sender.n >= FLUSH:
                 yield from sender.flush()
@@ -246,12 +276,58 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     met = "doc bigint, pos binary, state binary"
     found = base.mapInArrow(anchors, _SENT).groupBy("bucket").applyInArrow(_receiver(True), met)
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("pos", "state")).alias("found"))
-    asked = base.join(by_doc, "doc").select("doc", "t", "found")
+    by_doc = Scratch(docs.sparkSession, "sharedspans").table(found.groupBy("doc").agg(F.collect_list(F.struct("pos", "state")).alias("found")))
+    asked = _likely(base, by_doc, table_bytes(docs.select(text))).join(by_doc, "doc").select("doc", "t", "found")
     marks = asked.mapInArrow(stretches, _SENT).groupBy("bucket").applyInArrow(_receiver(False), met)
     return marks.groupBy("doc").agg(F.collect_list("pos").alias("found")).mapInArrow(regions, "doc_id bigint, span_start bigint, span_end bigint")
 
 
+def _likely(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Rows of base whose doc may be among the wanted ones, so that the join needn't shuffle all texts.
+
+    A Bloom filter of two bits for each document: as many bits as a thirtieth of the input's bytes, 64 MB at most.
+    """
+    bits = int(min(1 << 29, max(1 << 16, 8 * (size // 240))))
+
+    def at(doc):
+        x = mix64(doc.astype(np.int64).view(np.uint64))
+        return x % np.uint64(bits), (x >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)
+
+    def part(batches):
+        import pyarrow as pa
+
+        out = np.zeros(bits, bool)
+        for b in batches:
+            for i in at(b.column(0).to_numpy(zero_copy_only=False)):
+                out[i] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["b"])
+
+    def join(batches):
+        import pyarrow as pa
+
+        out = None
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                y = np.frombuffer(x, np.uint8)
+                out = y if out is None else out | y
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()] if out is not None else [], pa.binary())], ["b"])
+
+    merged = wanted.select("doc").mapInArrow(part, "b binary").coalesce(1).mapInArrow(join, "b binary").collect()
+    sent = base.sparkSession.sparkContext.broadcast(merged[0]["b"] if merged else b"")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        if not sent.value:
+            return
+        has = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
+        for b in batches:
+            i, j = at(b.column(0).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(has[i] & has[j]))
+
+    return base.mapInArrow(keep, "doc bigint, t string")
+
+
 def _cover(anchor: np.ndarray, v: int, n: int) -> np.ndarray:
     """Which of the n stretches hold one of the anchors."""
     d = np.zeros(n + 1, np.int32)
