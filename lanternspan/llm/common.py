@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -130,5 +129,13 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def here(path: str) -> bool:
-    return os.path.exists(path)
+def hash_sample(df: DataFrame, key: str, wanted, size: int, share: float) -> DataFrame:
+    """The `size` rows that are wanted (a condition) with the smallest hashes of their keys.
+
+    A bound on the hash, from the number of rows and the least share of them that is wanted, keeps what tasks send
+    to the driver at a few times the sample, however many tasks there are; where fewer are wanted, fewer come.
+    """
+    n = df.select(key).count()
+    bound = int(-(2**63) + min(1.0, size / share / max(n, 1)) * (2**64 - 1))
+    h = F.xxhash64(key)
+    return df.where(h <= F.lit(min(bound, 2**63 - 1))).where(wanted).orderBy(h, key).limit(size)

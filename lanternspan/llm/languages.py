@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, in_batches, table_bytes
+from .common import Scratch, arrow_rows, hash_sample, in_batches, table_bytes
 from .encodings import _LOOK, restore
 from .prose import PROSE
 
@@ -184,7 +184,7 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     scratch = Scratch(spark, "languages")
     col = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("t"), label_language(col(label)).alias("label"), F.coalesce(col(host), F.lit("")).alias("host")).where(F.col("t").rlike(r"[\p{L}?]"))
-    rows = base.where(F.col("label").isin(*LANGS)).orderBy(F.xxhash64("doc"), "doc").limit(sample).select("label", "t").collect()
+    rows = hash_sample(base, "doc", F.col("label").isin(*LANGS), sample, 0.5).select("label", "t").collect()
     model = spark.sparkContext.broadcast(Likelihoods([(r["label"], r["t"]) for r in rows]))
 
     def score(batches):
