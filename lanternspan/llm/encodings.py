@@ -178,6 +178,8 @@ def strangeness(text: str) -> float:
     return 2.0 * len(_RARE.findall(t)) + len(_CYRILLIC_CASE.findall(t)) + len(_TWO_SCRIPTS.findall(t)) + len(_SIGN_INSIDE.findall(t)) + 0.1 * len(_SHOUTED.findall(t))
 
 
+#: Any of the marks that strangeness counts, or a look-alike letter: lines without one need no further look.
+_ODD = re.compile("|".join(x.pattern for x in (_RARE, _CYRILLIC_CASE, _SHOUTED, _TWO_SCRIPTS, _SIGN_INSIDE)))
 _CONTROL = re.compile("[\x7f-\x9f]")
 _MIXED = re.compile(r"\S*[^\x00-\x7f]\S*(?:[ \xa0]\S*[^\x00-\x7f]\S*)*")
 
@@ -223,7 +225,7 @@ def restore(text: str) -> tuple[str, list[str], bool]:
     """(restored text, chains found, whether characters are lost for good)."""
     chains, out = [], []
     for line in text.split("\n"):
-        if not line.isascii() and _LOOK.search(line):
+        if not line.isascii() and _ODD.search(line):
             line, chain = restore_line(line)
             if chain:
                 chains.append(chain)

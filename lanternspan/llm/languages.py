@@ -89,7 +89,7 @@ class Likelihoods:
         self.table -= self.table.mean(1, keepdims=True)
         self.index = {w: i for i, w in enumerate(names) if c_known(n[i])}
         self.known = {w for w in self.index if n[self.index[w]].sum() >= 4}
-        self.table = self.table.astype(np.float32)
+        self.clipped = np.clip(self.table, -4, 4).astype(np.float32)
         self.memo: dict[str, np.ndarray] = {}
 
     def other(self, w: str) -> np.ndarray:
@@ -102,16 +102,22 @@ class Likelihoods:
         return got
 
     def score(self, lists: list[list[str]]) -> np.ndarray:
-        """Sum of the words' log-likelihoods (less their mean over languages) for each list."""
+        """Sum of the words' log-likelihoods (less their mean over languages) for each list. Unknown words count, by
+        their trigrams, only where fewer than six are known."""
         out = np.zeros((len(lists), len(LANGS)), np.float32)
-        index, table = self.index, self.table
+        get, flat, ends = self.index.get, [], []
         for i, ws in enumerate(lists):
-            at = [index[w] for w in ws if w in index]
-            if at:
-                out[i] = np.clip(table[at], -4, 4).sum(0)
-            for w in ws:
-                if w not in index:
-                    out[i] += self.other(w)
+            n = len(flat)
+            flat += [k for w in ws if (k := get(w)) is not None]
+            ends.append(len(flat))
+            if len(flat) - n < 6:
+                for w in ws:
+                    if w not in self.index:
+                        out[i] += self.other(w)
+        if flat:
+            total = np.concatenate([np.zeros((1, len(LANGS))), np.cumsum(self.clipped[flat], 0, dtype=np.float64)])
+            e = np.array(ends)
+            out += (total[e] - total[np.concatenate([[0], e[:-1]])]).astype(np.float32)
         return out
 
 
@@ -124,7 +130,7 @@ def _trigrams(w: str):
     return [p[i : i + 3] for i in range(len(p) - 2)]
 
 
-def prose_tokens(text: str, model: Likelihoods) -> int:
+def prose_tokens(text: str, model: Likelihoods, ws: list[str] | None = None) -> int:
     """Blank-separated tokens of the unit if it is running prose, else 0; list marks don't count."""
     if _CONTACT.search(text):
         return 0
@@ -135,34 +141,51 @@ def prose_tokens(text: str, model: Likelihoods) -> int:
             tail = text[text.rindex(found[-1]) + len(found[-1]) :]  # a sentence may follow the list's last entry
             n = prose_tokens(tail, model)
             return n - 1 if n > 6 else 0
-    ws = words(text)
+    ws = words(text) if ws is None else ws
     known = sum(w in model.known or w == "??" for w in ws)
     if not ws or known < 0.4 * len(ws):
         return 0
     return len(toks)
 
 
-def decode(scores: np.ndarray, prior: np.ndarray, switch: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Language of each unit, and its posterior: a chain over units that keeps the language unless the words say otherwise."""
-    s = scores.astype(np.float64) + prior
-    n, k = s.shape
-    fwd, bwd, back = np.empty((n, k)), np.zeros((n, k)), np.zeros((n, k), int)
+def decode(scores: list[np.ndarray], priors: list[np.ndarray], switch: float = 4.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each document the language of each unit, and its posterior: a chain over units that keeps the language
+    unless the words say otherwise. Documents run together in groups of about one number of units; padding behind
+    a document favours no language, so it changes nothing before it."""
+    out: list = [None] * len(scores)
+    order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+    k = len(LANGS)
     step = np.where(np.eye(k, dtype=bool), 0.0, -switch)
-    best = fwd[0] = s[0]
-    for i in range(1, n):
-        m = best[:, None] + step
-        back[i] = m.argmax(0)
-        best = m.max(0) + s[i]
-        fwd[i] = np.logaddexp.reduce(fwd[i - 1][:, None] + step, axis=0) + s[i]
-    for i in range(n - 2, -1, -1):
-        bwd[i] = np.logaddexp.reduce(step + (s[i + 1] + bwd[i + 1])[None], axis=1)
-    post = fwd + bwd
-    post = np.exp(post - np.logaddexp.reduce(post, axis=1)[:, None])
-    path = np.empty(n, int)
-    path[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path, post[np.arange(n), path]
+    for at in range(0, len(order), 256):
+        part = order[at : at + 256]
+        n = len(scores[part[-1]])
+        s = np.zeros((n, len(part), k))
+        for j, i in enumerate(part):
+            s[: len(scores[i]), j] = scores[i] + priors[i]
+        fwd, bwd, back = np.empty_like(s), np.zeros_like(s), np.zeros(s.shape, np.int8)
+        best = fwd[0] = s[0]
+        for t in range(1, n):
+            m = best[:, :, None] + step
+            back[t] = m.argmax(1)
+            best = m.max(1) + s[t]
+            fwd[t] = _sum(fwd[t - 1][:, :, None] + step, 1) + s[t]
+        for t in range(n - 2, -1, -1):
+            bwd[t] = _sum(step + (s[t + 1] + bwd[t + 1])[:, None, :], 2)
+        post = fwd + bwd
+        post = np.exp(post - _sum(post, 2)[:, :, None])
+        path = np.empty((n, len(part)), np.int64)
+        path[-1] = best.argmax(1)
+        for t in range(n - 1, 0, -1):
+            path[t - 1] = back[t][np.arange(len(part)), path[t]]
+        for j, i in enumerate(part):
+            u = len(scores[i])
+            out[i] = path[:u, j], post[np.arange(u), j, path[:u, j]]
+    return out
+
+
+def _sum(x: np.ndarray, axis: int) -> np.ndarray:
+    m = x.max(axis, keepdims=True)
+    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
 def label_language(c):
@@ -191,21 +214,27 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
         import pyarrow as pa
 
         m = model.value
-        for rows in in_batches(arrow_rows(batches), 1):
-            out = []
+        for rows in in_batches(arrow_rows(batches)):
+            out, lists = [], []
             for doc, t, lab, h in rows:
                 if _LOOK.search(t):
                     t = restore(t)[0]
                 us = units(t)
                 if not us:
                     continue
-                s = m.score([words(t[a:b]) for a, b in us])
+                ws = [words(t[a:b]) for a, b in us]
+                n = [(a, b, prose_tokens(t[a:b], m, w)) for (a, b), w in zip(us, ws)]
+                lean = np.zeros(len(LANGS), np.float32)
                 for suffix in _SUFFIX.findall(t)[:4] if "@" in t or "www." in t else ():
                     if suffix in SUFFIXES:
-                        s[:, LANGS.index(SUFFIXES[suffix])] += 0.3
-                n = [prose_tokens(t[a:b], m) for a, b in us]
-                total = s.sum(0)
-                out.append((doc, lab, h, int(total.argmax()), np.array([(a, b, x) for (a, b), x in zip(us, n)], np.int32).tobytes(), s.tobytes()))
+                        lean[LANGS.index(SUFFIXES[suffix])] += 0.3
+                out.append([doc, lab, h, 0, np.array(n, np.int32).tobytes(), (len(lists), len(lists) + len(us), lean)])
+                lists += ws
+            scores = m.score(lists)
+            for r in out:
+                x, y, lean = r[5]
+                s = scores[x:y] + lean
+                r[3], r[5] = int(s.sum(0).argmax()), s.tobytes()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["doc", "label", "host", "likely", "units", "scores"])
 
@@ -224,15 +253,17 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for doc, lab, us, s, n in zip(*(b.column(c).to_pylist() for c in ("doc", "label", "units", "scores", "n"))):
-                us, s, n = np.frombuffer(us, np.int32).reshape(-1, 3), np.frombuffer(s, np.float32).reshape(-1, len(LANGS)), np.array(n)
-                prior = np.log((n + 50 * overall) / (n.sum() + 50)) + given[LANGS.index(lab) if lab in LANGS else -1]
-                path, post = decode(s, prior / max(3, len(us)))
+            rows, out = list(zip(*(b.column(c).to_pylist() for c in ("doc", "label", "units", "scores", "n")))), []
+            spans = [np.frombuffer(r[2], np.int32).reshape(-1, 3) for r in rows]
+            hosts = np.array([r[4] for r in rows], float).reshape(-1, len(LANGS))
+            share = np.log((hosts + 50 * overall) / (hosts.sum(1, keepdims=True) + 50))
+            priors = [(p + given[LANGS.index(r[1]) if r[1] in LANGS else -1]) / max(3, len(us)) for p, r, us in zip(share, rows, spans)]
+            found = decode([np.frombuffer(r[3], np.float32).reshape(-1, len(LANGS)) for r in rows], priors)
+            for (doc, lab, *_), us, (path, post) in zip(rows, spans, found):
                 edges = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
+                size = np.maximum(1, us[:, 1] - us[:, 0])
                 for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
-                    size = np.maximum(1, us[x:y, 1] - us[x:y, 0])
-                    out.append((doc, lab, i, int(us[x, 0]), int(us[y - 1, 1]), LANGS[path[x]], round(float((post[x:y] * size).sum() / size.sum()), 6), int(us[x:y, 2].sum())))
+                    out.append((doc, lab, i, int(us[x, 0]), int(us[y - 1, 1]), LANGS[path[x]], round(float(post[x:y] @ size[x:y]) / float(size[x:y].sum()), 6), int(us[x:y, 2].sum())))
             yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out) if out else [[]] * 8, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64()))], _SEGMENT)
 
     schema = "doc bigint, label string, segment bigint, seg_start bigint, seg_end bigint, lang string, confidence double, tokens bigint"
