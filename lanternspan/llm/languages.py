@@ -60,7 +60,7 @@ class Likelihoods:
         sents = [(LANGS.index(lang), words(t[a:b])) for lang, t in rows for a, b in units(t)]
         own = [(LANGS.index(lang), words(t[a:b])) for lang, t in PROSE.items() for a, b in units(t)]
         for k in range(rounds + 1):
-            self._count([*sents, *own * 2])
+            self._count([*sents, *own * 4])
             if k < rounds:
                 scores = self.score([w for _, w in sents])
                 sents = [(int(s.argmax()) if len(w) > 3 else lang, w) for (lang, w), s in zip(sents, scores)]
