@@ -210,7 +210,7 @@ def stratified_split(spark, d):
 
 def candidate_ngrams(spark, d):
     t = _docs(spark, d).select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != "")).alias("n_tokens"))
-    return spans.candidate_spans(t.where("n_tokens <= 400"), 4, "doc_id").groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum("span_width").alias("width"))
+    return spans.candidate_spans(t, 4, "doc_id").groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum("span_width").alias("width"))
 
 
 def _candidates(spark, d):
