@@ -100,7 +100,7 @@ def span_chunk_assign(spark, d):
 
 def offset_repair(spark, d):
     docs = _docs(spark, d).where("record_id is not null and text is not null").groupBy(tx.collapse(F.col("record_id")).alias("record_id")).agg(F.min_by("text", "doc_id").alias("doc"))
-    s = table(spark, d, "span_annotations").where("record_id is not null and text is not null and length(text) > 3 and label <> 'INDUSTRY'")
+    s = table(spark, d, "span_annotations").where("record_id is not null and text is not null")
     s = s.groupBy("annotation_id").agg(F.max_by(F.struct(tx.collapse(F.col("record_id")).alias("record_id"), "text", "span_start", "span_end"), F.struct("annotated_at", "text", "span_start", "record_id")).alias("s")).select("annotation_id", "s.*")
     j = s.join(docs, "record_id")
     return j.select("annotation_id", spans.repaired_start(F.col("doc"), F.col("text"), F.col("span_start").cast("int"), F.col("span_end").cast("int")).cast("bigint").alias("start"))

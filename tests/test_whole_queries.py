@@ -1,5 +1,7 @@
 """Registered queries on small tables of which no row may be left out."""
 
+from datetime import datetime
+
 from lanternspan.plans import core
 
 
@@ -17,3 +19,11 @@ def test_candidate_ngrams_of_long_documents(spark, tmp_path):
         if w:
             want[k] = (len(w), sum(w))
     assert {r.doc_id: (r.spans, r.width) for r in core.candidate_ngrams(spark, str(tmp_path)).collect()} == want
+
+
+def test_offset_repair_of_short_spans_and_industries(spark, tmp_path):
+    at, doc = datetime(2024, 1, 1), "C# and SQL for hotel groups, SQL again"
+    save([(1, "R1", doc)], "doc_id bigint, record_id string, text string", "documents", spark, tmp_path)
+    marks = [(1, "TECHNOLOGY", 27, 30, "SQL"), (2, "TECHNOLOGY", 1, 3, "C#"), (3, "INDUSTRY", 16, 28, "hotel groups"), (4, None, 15, 27, "hotel groups")]
+    save([(i, "r1", lab, a, b, t, at) for i, lab, a, b, t in marks], "annotation_id bigint, record_id string, label string, span_start bigint, span_end bigint, text string, annotated_at timestamp", "span_annotations", spark, tmp_path)
+    assert {r.annotation_id: r.start for r in core.offset_repair(spark, str(tmp_path)).collect()} == {1: 29, 2: 0, 3: 15, 4: 15}
