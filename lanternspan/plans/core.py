@@ -107,9 +107,9 @@ def offset_repair(spark, d):
 
 
 def refine_spans(spark, d):
-    s = table(spark, d, "span_annotations").where("label in ('SKILL', 'INDUSTRY', 'TECHNOLOGY') and text is not null")
+    s = table(spark, d, "span_annotations").where("text is not null")
     s = s.select("annotation_id", "label", "text", F.col("span_start").cast("int").alias("start"), F.col("span_end").cast("int").alias("end"), "normalized", F.coalesce("record_id", F.lit("")).alias("record_id"))
-    s = refine.trim_span(s, prefixes=("strong ", "good ", "very good "))
+    s = refine.trim_span(s)
     return refine.wanted(s).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("trimmed").cast("bigint")).alias("trimmed"))
 
 

@@ -27,3 +27,10 @@ def test_offset_repair_of_short_spans_and_industries(spark, tmp_path):
     marks = [(1, "TECHNOLOGY", 27, 30, "SQL"), (2, "TECHNOLOGY", 1, 3, "C#"), (3, "INDUSTRY", 16, 28, "hotel groups"), (4, None, 15, 27, "hotel groups")]
     save([(i, "r1", lab, a, b, t, at) for i, lab, a, b, t in marks], "annotation_id bigint, record_id string, label string, span_start bigint, span_end bigint, text string, annotated_at timestamp", "span_annotations", spark, tmp_path)
     assert {r.annotation_id: r.start for r in core.offset_repair(spark, str(tmp_path)).collect()} == {1: 29, 2: 0, 3: 15, 4: 15}
+
+
+def test_refine_spans_takes_all_labels_and_prefixes(spark, tmp_path):
+    rows = [("JOB_ROLE", "Data Engineer"), ("JOB_ROLE", "strong Data Engineer"), ("TECHNOLOGY", "experience with Python"), ("TECHNOLOGY", "Knowledge of SQL"), ("SKILL", "strong negotiation"), ("ABILITY", "x")]
+    rows = [(i, "r", lab, t, 0, len(t), None) for i, (lab, t) in enumerate(rows)]
+    save(rows, "annotation_id bigint, record_id string, label string, text string, span_start bigint, span_end bigint, normalized string", "span_annotations", spark, tmp_path)
+    assert {r.label: (r.n, r.trimmed) for r in core.refine_spans(spark, str(tmp_path)).collect()} == {"JOB_ROLE": (2, 1), "TECHNOLOGY": (2, 2), "SKILL": (1, 1)}
