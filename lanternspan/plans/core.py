@@ -77,7 +77,7 @@ def line_activity(spark, d):
 
 
 def weak_label_counts(spark, d):
-    return weak.label_counts(weak.weak_spans(_docs(spark, d).withColumnRenamed("position_title", "position"), id="doc_id", terms=TERMS))
+    return weak.label_counts(weak.weak_spans(_docs(spark, d).withColumnRenamed("position_title", "position"), id="doc_id"))
 
 
 def flagship(spark, d):

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from lanternspan.functions import lexicon as lx
 from lanternspan.plans import core
 
 
@@ -34,3 +35,10 @@ def test_refine_spans_takes_all_labels_and_prefixes(spark, tmp_path):
     rows = [(i, "r", lab, t, 0, len(t), None) for i, (lab, t) in enumerate(rows)]
     save(rows, "annotation_id bigint, record_id string, label string, text string, span_start bigint, span_end bigint, normalized string", "span_annotations", spark, tmp_path)
     assert {r.label: (r.n, r.trimmed) for r in core.refine_spans(spark, str(tmp_path)).collect()} == {"JOB_ROLE": (2, 1), "TECHNOLOGY": (2, 2), "SKILL": (1, 1)}
+
+
+def test_weak_label_counts_uses_the_whole_lexicons(spark, tmp_path):
+    text = f"{lx.SKILL_TERMS[0]}; {lx.TECHNOLOGY_TERMS[0]}; {lx.INDUSTRY_TERMS[0]}; {lx.PROJECT_TYPE_TERMS[0]}; Technical Writer"
+    save([(1, text, None, None)], "doc_id bigint, text string, position_title string, primary_keyword string", "documents", spark, tmp_path)
+    got = {r.label for r in core.weak_label_counts(spark, str(tmp_path)).collect()}
+    assert {"SKILL", "TECHNOLOGY", "INDUSTRY", "PROJECT_TYPE", "JOB_ROLE"} <= got
