@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import chunks
@@ -55,6 +57,20 @@ def chunk_records(df: DataFrame, size: int = 1400, overlap: int = 120, id: str =
     return c.select(F.concat(F.col(id), F.lit(f"::{mark}-"), F.col("chunk_index").cast("string")).alias("feature_id"), id, "chunk_index", "chunk_start", (F.col("chunk_start") + F.length("chunk_text")).alias("chunk_end"), F.col("chunk_text").alias("text"))
 
 
+#: A word with the signs inside and behind it that names of technologies have (Node.js, 4.3, C++), or any other sign alone.
+_TOKEN = re.compile(r"\w(?:[\w+#./-]*[\w+#])?|[^\w\s]")
+
+
+def token_offsets(text: Column) -> Column:
+    """array<struct<start,end>> of the tokens of a text, from 0."""
+
+    @F.udf("array<struct<start:int,end:int>>", useArrow=True)
+    def cut(t):
+        return None if t is None else [m.span() for m in _TOKEN.finditer(t)]
+
+    return cut(text)
+
+
 def label_ids(spans: DataFrame) -> DataFrame:
     """(label, label_id): 0 is the label O, the others follow in order."""
     labels = spans.select("label").where("label is not null").distinct()

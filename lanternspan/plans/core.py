@@ -214,13 +214,30 @@ def candidate_ngrams(spark, d):
 
 
 def _candidates(spark, d):
-    t = table(spark, d, "chunk_records").where("text is not null").groupBy("feature_id").agg(F.max(F.length("text")).alias("n")).select("feature_id", (F.col("n") % 90).alias("n_tokens"))
-    c = spans.candidate_spans(t, 3)
-    return c.withColumn("label_id", F.when((F.col("start_token") % 7 == 0) & (F.col("span_width") == 2), 1).otherwise(0))
+    """Runs of up to three tokens of every chunk; label_id is that of the annotation whose repaired bounds are a run's, or 0."""
+    c = table(spark, d, "chunk_records").where("feature_id is not null and text is not null").groupBy("feature_id").agg(F.max_by(F.struct("chunk_index", F.col("chunk_start").cast("int").alias("chunk_start"), "text"), F.struct("ingested_at", "text")).alias("c"))
+    c = c.select("feature_id", F.lower(F.substring_index("feature_id", "::chunk-", 1)).alias("record_id"), "c.*")
+    record = F.coalesce(F.nullif(tx.collapse(F.col("record_id")), F.lit("")), F.lower(F.substring_index("feature_id", "::chunk-", 1)))
+    s = table(spark, d, "span_annotations").where("label is not null and trim(text) <> ''").withColumn("record_id", record).where("record_id is not null")
+    s = s.groupBy("annotation_id").agg(F.max_by(F.struct("record_id", "label", "text", "span_start", "span_end"), F.struct("annotated_at", "text", "span_start", "record_id")).alias("s")).select("annotation_id", "s.*")
+    docs = _docs(spark, d).where("record_id is not null and text is not null").groupBy(tx.collapse(F.col("record_id")).alias("record_id")).agg(F.min_by("text", "doc_id").alias("doc"))
+    start = spans.repaired_start(F.col("doc"), F.col("text"), F.col("span_start").cast("int"), F.col("span_end").cast("int"))
+    s = s.join(docs, "record_id").select("annotation_id", "record_id", "label", F.length("text").alias("n"), start.alias("start")).where("start is not null").withColumn("end", F.col("start") + F.col("n"))
+    # of the chunks that hold a span the first takes it, as spans.first_holding_chunk has it
+    held = s.join(c.select("record_id", "feature_id", "chunk_index", "chunk_start", (F.col("chunk_start") + F.length("text")).alias("chunk_end")), "record_id").where("start >= chunk_start and end <= chunk_end")
+    held = held.groupBy("annotation_id", "label", "start", "end").agg(F.min(F.struct("chunk_index", "chunk_start", "feature_id")).alias("f")).join(F.broadcast(ft.label_ids(table(spark, d, "span_annotations"))), "label")
+    held = held.groupBy(F.col("f.feature_id").alias("feature_id")).agg(F.collect_list(F.struct((F.col("start") - F.col("f.chunk_start")).alias("a"), (F.col("end") - F.col("f.chunk_start")).alias("b"), "label_id")).alias("gold"))
+    # the spans of a chunk join it before its runs are made, so that runs aren't shuffled
+    runs = c.select("feature_id", "text").join(held, "feature_id", "left").select("feature_id", ft.token_offsets(F.col("text")).alias("offsets"), "gold")
+    gold = F.transform("gold", lambda g: F.struct(spans.token_span(F.col("offsets"), g["a"], g["b"]).alias("t"), g["label_id"].alias("label_id")))
+    runs = runs.select(F.struct("feature_id", gold.alias("gold")).alias("f"), F.size("offsets").alias("n_tokens"))
+    runs = spans.candidate_spans(runs, 3, "f")
+    same = F.filter("f.gold", lambda g: (g["t"]["first"] == F.col("start_token")) & (g["t"]["last"] == F.col("end_token")))
+    return runs.select("f.feature_id", "start_token", "end_token", "span_width", F.coalesce(F.array_max(F.transform(same, lambda g: g["label_id"])), F.lit(0)).alias("label_id"))
 
 
 def negative_sample(spark, d):
-    return ft.sample_negatives(_candidates(spark, d), 2, 8).groupBy("feature_id").agg(F.count("*").alias("n"), F.sum("label_id").alias("labelled"), F.sum("start_token").alias("starts"))
+    return ft.sample_negatives(_candidates(spark, d), 2, 8).groupBy("feature_id").agg(F.count("*").alias("n"), F.sum((F.col("label_id") != 0).cast("bigint")).alias("labelled"), F.sum("start_token").alias("starts"))
 
 
 def label_vocabulary(spark, d):

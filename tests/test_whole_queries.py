@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from lanternspan.functions import lexicon as lx
 from lanternspan.plans import core
 
@@ -22,6 +24,22 @@ def test_candidate_ngrams_of_long_documents(spark, tmp_path):
     assert {r.doc_id: (r.spans, r.width) for r in core.candidate_ngrams(spark, str(tmp_path)).collect()} == want
 
 
+def test_negative_sample_counts_tokens_and_takes_annotated_spans(spark, tmp_path):
+    at, words = datetime(2024, 1, 1), "w" * 5 + " x" * 200
+    long = words + ", C++ and Node.js."
+    doc = "We use Python 3.7, SQL."
+    save([(1, " R1 ", doc), (2, "r2", long)], "doc_id bigint, record_id string, text string", "documents", spark, tmp_path)
+    chunks = [("r1::chunk-0", None, 0, 0, doc, at), ("r1::chunk-0", "r1", 0, 0, doc, at), ("r2::chunk-0", "r2", 0, 0, long, at), ("r3::chunk-0::sub-0", "r3", 0, 0, "a" * 90, at)]
+    save(chunks, "feature_id string, record_id string, chunk_index int, chunk_start bigint, text string, ingested_at timestamp", "chunk_records", spark, tmp_path)
+    marks = [(1, "r1", "TECHNOLOGY", 7, 17, "Python 3.7"), (2, None, "TECHNOLOGY", 16, 19, "SQL"), (3, "r2", "SKILL", long.index("C++"), long.index("C++") + 3, "C++"), (4, "r2", "SKILL", 0, 2, "ww"), (5, "r1", "SKILL", 0, 6, "absent")]
+    save([(i, r, "r1::chunk-0", lab, a, b, t, at) for i, r, lab, a, b, t in marks], "annotation_id bigint, record_id string, feature_id string, label string, span_start bigint, span_end bigint, text string, annotated_at timestamp", "span_annotations", spark, tmp_path)
+    runs = core._candidates(spark, str(tmp_path)).cache()
+    assert {r.feature_id: r.n for r in runs.groupBy("feature_id").agg(F.max("end_token").alias("n")).collect()} == {"r1::chunk-0": 6, "r2::chunk-0": 205, "r3::chunk-0::sub-0": 0}
+    got = {(r.feature_id, r.start_token, r.end_token, r.label_id) for r in runs.where("label_id <> 0").collect()}
+    assert got == {("r1::chunk-0", 2, 3, 2), ("r1::chunk-0", 5, 5, 2), ("r2::chunk-0", 202, 202, 1)}
+    assert {r.feature_id: (r.n, r.labelled) for r in core.negative_sample(spark, str(tmp_path)).collect()} == {"r1::chunk-0": (10, 2), "r2::chunk-0": (9, 1), "r3::chunk-0::sub-0": (1, 0)}
+
+
 def test_offset_repair_of_short_spans_and_industries(spark, tmp_path):
     at, doc = datetime(2024, 1, 1), "C# and SQL for hotel groups, SQL again"
     save([(1, "R1", doc)], "doc_id bigint, record_id string, text string", "documents", spark, tmp_path)
