@@ -170,32 +170,38 @@ _RARE = re.compile("[^\x00-\x7f" + re.escape("".join(sorted(GOOD))) + "]")
 _CYRILLIC_CASE = re.compile("[а-яґєії][А-ЯҐЄІЇ]")
 _SHOUTED = re.compile("[А-ЯҐЄІЇ]{3}")
 _SIGN_INSIDE = re.compile(r"[^\W\d_][" + re.escape(USUAL.replace("’", "")) + r"¿¡ªº·´§]+[^\W\d_]")
+#: Usual signs as UTF-8 read in another encoding: the character of the lead byte and those of the bytes behind it. A
+#: Cyrillic letter before a no-break space is left out, as it is a word (В) where a sentence may start.
+_GARBLED = re.compile("|".join(sorted({re.escape(g) for c in USUAL + "¿¡ºª·\xa0´§" for chain, steps in CHAINS.items() if len(steps) == 1 and steps[0][0] == "utf-8" and len(g := garble(c, chain)) > 1 and not (c == "\xa0" and "\u0400" <= g[0] < "\u0530")}, key=len, reverse=True)))
 
 
 def strangeness(text: str) -> float:
     """How much a text shows of what good text lacks; compared between a line and its restorations."""
     t = without_lookalikes(text)
-    return 2.0 * len(_RARE.findall(t)) + len(_CYRILLIC_CASE.findall(t)) + len(_TWO_SCRIPTS.findall(t)) + len(_SIGN_INSIDE.findall(t)) + 0.1 * len(_SHOUTED.findall(t))
+    return 2.0 * len(_RARE.findall(t)) + len(_CYRILLIC_CASE.findall(t)) + len(_TWO_SCRIPTS.findall(t)) + len(_SIGN_INSIDE.findall(t)) + len(_GARBLED.findall(t)) + 0.1 * len(_SHOUTED.findall(t))
 
 
 #: Any of the marks that strangeness counts, or a look-alike letter: lines without one need no further look.
-_ODD = re.compile("|".join(x.pattern for x in (_RARE, _CYRILLIC_CASE, _SHOUTED, _TWO_SCRIPTS, _SIGN_INSIDE)))
+_ODD = re.compile("|".join(x.pattern for x in (_RARE, _CYRILLIC_CASE, _SHOUTED, _TWO_SCRIPTS, _SIGN_INSIDE, _GARBLED)))
 _CONTROL = re.compile("[\x7f-\x9f]")
 _MIXED = re.compile(r"\S*[^\x00-\x7f]\S*(?:[ \xa0]\S*[^\x00-\x7f]\S*)*")
 
 
-def restore_line(line: str, tries: int = 6) -> tuple[str, str | None]:
+def restore_line(line: str, tries: int | None = None) -> tuple[str, str | None]:
     """(restored line, chain), or the line itself and None. The classifier orders the chains; the first whose
     inverse decodes strictly and leaves nothing strange holds, or else the one that leaves the least. Where the whole line doesn't decode, its runs of
     words with other than ASCII characters are taken one by one."""
     probe = " ".join(w for w in line.split(" ") if not w.isascii())  # plain words bear no evidence
     before = strangeness(probe)
-    if before < 0.3:  # a word or two in capitals
+    if before < 0.3:  # no mark but a word or two in capitals, such as РНОКПП, which tell nothing
         return line, None
     names, table = classifier()
     score = table[:, byte_bigrams(without_lookalikes(probe))].sum(1)
     best = (before, None)
-    for i in np.argsort(-score, kind="stable")[:tries]:
+    order = np.argsort(-score, kind="stable")
+    if _GARBLED.search(probe):  # UTF-8 hardly decodes by chance, and single signs are too short for the classifier
+        order = sorted(order, key=lambda i: not names[i].startswith("utf-8"))
+    for i in order[:tries]:
         if names[i] == CLEAN:
             if before < 2:
                 break
@@ -245,7 +251,7 @@ def repair(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Every line with an unusual character is classified by its hashed byte bigrams, the predicted chain inverted
     and kept where it decodes strictly; replacement characters (U+FFFD) or question marks in place of words tell
-    of lost characters, which stay as they are (lost = true). Lines of usual characters are passed over in the JVM. Null and empty texts give no row.
+    of lost characters, which stay as they are (lost = true). Texts of ASCII characters are passed over in the JVM. Null and empty texts give no row.
     """
 
     def run(batches):
@@ -260,7 +266,7 @@ def repair(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))], [key, "restored", "chains", "lost"])
 
-    look = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("t")).where(F.col("t").rlike(f"[^\\x00-\\x7f{USUAL}]|[?]{{4}}"))
+    look = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[^\\x00-\\x7f]|[?]{4}"))
     return look.mapInArrow(run, f"{key} bigint, restored string, chains string, lost boolean")
 
 
