@@ -227,7 +227,7 @@ def _candidates(spark, d):
     held = s.join(c.select("record_id", "feature_id", "chunk_index", "chunk_start", (F.col("chunk_start") + F.length("text")).alias("chunk_end")), "record_id").where("start >= chunk_start and end <= chunk_end")
     held = held.groupBy("annotation_id", "label", "start", "end").agg(F.min(F.struct("chunk_index", "chunk_start", "feature_id")).alias("f")).join(F.broadcast(ft.label_ids(table(spark, d, "span_annotations"))), "label")
     held = held.groupBy(F.col("f.feature_id").alias("feature_id")).agg(F.collect_list(F.struct((F.col("start") - F.col("f.chunk_start")).alias("a"), (F.col("end") - F.col("f.chunk_start")).alias("b"), "label_id")).alias("gold"))
-    # the spans of a chunk join it before its runs are made, so that runs aren't shuffled
+    # the spans of a chunk join it before its runs are made; the windows of the sampling still shuffle the runs
     runs = c.select("feature_id", "text").join(held, "feature_id", "left").select("feature_id", ft.token_offsets(F.col("text")).alias("offsets"), "gold")
     gold = F.transform("gold", lambda g: F.struct(spans.token_span(F.col("offsets"), g["a"], g["b"]).alias("t"), g["label_id"].alias("label_id")))
     runs = runs.select(F.struct("feature_id", gold.alias("gold")).alias("f"), F.size("offsets").alias("n_tokens"))
