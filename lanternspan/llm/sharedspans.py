@@ -22,7 +22,13 @@ COVERS = {
 LEAST_ANCHOR = 16
 #: Anchors that a task gathers before it sends them on.
 FLUSH = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Two bases of window hashes; what is taken for equal agrees under both.
+_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Documents of which a bucket holds the anchors: bytes of text, at least and at most; between them as many buckets as
+#: tasks can address in frames of some length.
+LEAST_BUCKET, MOST_BUCKET, FRAMES = 4_000_000, 64_000_000, 20_000
+#: Bits of the filter over documents, at most (64 MB); a full filter lets texts through, which the join then drops.
+MAX_FILTER_BITS = 1 << 29
 
 
 def period_for(length: int) -> int:
@@ -34,14 +40,15 @@ def period_for(length: int) -> int:
 
 
 class _Powers:
-    def __init__(self):
+    def __init__(self, base: int = _BASE):
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int):
         if len(self.up) <= n:
             with np.errstate(over="ignore"):
-                inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-                self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, _BASE)]), dtype=np.uint64)
+                base, inverse = np.uint64(self.base), np.uint64(pow(self.base, -1, 2**64))
+                self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, base)]), dtype=np.uint64)
                 self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, inverse)]), dtype=np.uint64)
         return self.up, self.down
 
@@ -62,22 +69,29 @@ def _runs(h: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]).astype(np.int64)) if len(h) else np.empty(0, np.int64)
 
 
-def settle(h, c, doc, flag):
+def settle(h, c, doc, flag, contexts: bool = True):
     """State of each occurrence of an anchor: bit 1, its whole context occurs in another document, so every span
     around it does; bit 2, its spans have to be compared one by one; 0, the anchor occurs in no other document.
 
     h: anchor hashes; c: context hashes, 0 where the document ends before the context does; doc: any number of the
     document; flag: the occurrence stands for several documents of another task. In a group with several
-    contexts, each context keeps one occurrence to compare with, however many share it.
+    contexts, each context keeps one occurrence to compare with, however many share it. With contexts=False, c is
+    more of the hash: what is alike in both is one stretch, and the state is 1 or 0.
     """
     order = np.lexsort((doc, c, h))
     hs, cs, ds, fs = h[order], c[order], doc[order], flag[order]
-    run = _runs(hs)
+    run = _runs(hs) if contexts else np.cumsum(np.concatenate([[0], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])]).astype(np.int64)) if len(hs) else np.empty(0, np.int64)
     n = int(run[-1]) + 1 if len(run) else 0
     lo, hi = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
     np.minimum.at(lo, run, ds)
     np.maximum.at(hi, run, ds)
     shared = (lo < hi) | (np.bincount(run, fs, n) > 0)
+    if not contexts:
+        state = shared[run].astype(np.uint8) if n else np.empty(0, np.uint8)
+        state[(fs > 0) & (np.bincount(run, minlength=n)[run] == 1)] = 0
+        out = np.empty(len(h), np.uint8)
+        out[order] = state
+        return out, order, run, shared
     new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])]) if n else np.empty(0, bool)
     cls = np.cumsum(new) - 1
     k = int(cls[-1]) + 1 if n else 0
@@ -107,9 +121,10 @@ def unsqueeze(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-#: Bytes sent of the hashes of anchors, contexts and stretches (the bucket tells some more bits). An anchor met by
-#: chance is compared again; a context or stretch is taken for equal.
-ANCHOR_BYTES, CONTEXT_BYTES, STRETCH_BYTES = 6, 5, 7
+#: Bytes sent of two hashes: of anchors and, under the other base, of their contexts; of stretches under either base.
+#: An anchor met by chance is compared again; a context or stretch is taken for equal, at 112 or 88 bits.
+ANCHOR_BYTES, CONTEXT_BYTES = 6, 8
+STRETCH_BYTES, STRETCH_MORE = 8, 3
 
 
 class _Sender:
@@ -137,9 +152,7 @@ class _Sender:
             return
         h, c, doc, pos = (np.concatenate(x) for x in zip(*self.parts))
         self.clear()
-        state, order, run, shared = settle(h, c, doc, np.zeros(len(h), np.uint8))
-        if not self.contexts:
-            state = np.where(state > 0, 1, 0).astype(np.uint8)
+        state, order, run, shared = settle(h, c, doc, np.zeros(len(h), np.uint8), self.contexts)
         run_first = np.concatenate([[True], run[1:] != run[:-1]])
         send = np.zeros(len(h), bool)
         send[order[~shared[run] | run_first]] = True
@@ -152,17 +165,16 @@ class _Sender:
         bucket = (h >> np.uint64(40)) % np.uint64(self.buckets)
         at = np.flatnonzero(send)
         at = at[np.argsort(bucket[at], kind="stable")]
-        edges = np.searchsorted(bucket[at], np.arange(self.buckets + 1))
-        for k in range(self.buckets):
-            i = at[edges[k] : edges[k + 1]]
-            if len(i):
-                ids, local = np.unique(doc[i], return_inverse=True)
-                by = np.lexsort((pos[i], local))
-                i, local = i[by], local[by]
-                step = np.diff(pos[i].astype(np.int64), prepend=0)
-                step[np.flatnonzero(np.diff(local, prepend=-1))] = pos[i][np.flatnonzero(np.diff(local, prepend=-1))]
-                hashes = squeeze(h[i], ANCHOR_BYTES if self.contexts else STRETCH_BYTES)
-                rows.append((k, None, squeeze(step, 4), squeeze(flag[i], 1), hashes, squeeze(c[i], CONTEXT_BYTES) if self.contexts else None, ids.astype(np.int64).tobytes() + np.bincount(local).astype(np.uint32).tobytes()))
+        used, first = np.unique(bucket[at], return_index=True)
+        for k, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+            i = at[a:b]
+            ids, local = np.unique(doc[i], return_inverse=True)
+            by = np.lexsort((pos[i], local))
+            i, local = i[by], local[by]
+            step = np.diff(pos[i].astype(np.int64), prepend=0)
+            step[np.flatnonzero(np.diff(local, prepend=-1))] = pos[i][np.flatnonzero(np.diff(local, prepend=-1))]
+            hashes = squeeze(h[i], ANCHOR_BYTES if self.contexts else STRETCH_BYTES)
+            rows.append((k, None, squeeze(step, 4), squeeze(flag[i], 1), hashes, squeeze(c[i], CONTEXT_BYTES if self.contexts else STRETCH_MORE), ids.astype(np.int64).tobytes() + np.bincount(local).astype(np.uint32).tobytes()))
         for i in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 500]), (pa.int32(), pa.int64(), *[pa.binary()] * 5))], _SENT_NAMES)
 
@@ -190,7 +202,7 @@ def _receiver(contexts: bool):
                 known.append((r["doc"], r["pos"], r["state"]))
             else:
                 h = unsqueeze(r["h"], ANCHOR_BYTES if contexts else STRETCH_BYTES)
-                c = unsqueeze(r["c"], CONTEXT_BYTES) if contexts else np.zeros(len(h), np.uint64)
+                c = unsqueeze(r["c"], CONTEXT_BYTES if contexts else STRETCH_MORE)
                 ids = r["ids"]
                 n = len(ids) // 12
                 ids, counts = np.frombuffer(ids[: 8 * n], np.int64), np.frombuffer(ids[8 * n :], np.uint32)
@@ -201,9 +213,7 @@ def _receiver(contexts: bool):
                 met.append((h, c, np.repeat(ids, counts), unsqueeze(r["state"], 1).astype(np.uint8), pos))
         if met:
             h, c, doc, flag, pos = (np.concatenate(x) for x in zip(*met))
-            state = settle(h, c, doc, flag)[0]
-            if not contexts:
-                state = np.where(state > 0, 1, 0).astype(np.uint8)
+            state = settle(h, c, doc, flag, contexts)[0]
             ok = state > 0
             known += [(int(d), a.tobytes(), b.tobytes()) for d, a, b in _by(doc[ok], pos[ok], state[ok])]
         return pa.table({"doc": pa.array([x[0] for x in known], pa.int64()), "pos": pa.array([x[1] for x in known], pa.binary()), "state": pa.array([x[2] for x in known], pa.binary())})
@@ -211,7 +221,7 @@ def _receiver(contexts: bool):
     return settle_bucket
 
 
-def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 300, bucket_bytes: int = 8_000_000) -> DataFrame:
+def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 300) -> DataFrame:
     """(doc_id, span_start, span_end, n_chars): maximal regions covered by stretches of `length` that other documents hold.
 
     Difference-cover anchors: windows are hashed only at positions whose residue modulo the period lies in the
@@ -225,10 +235,12 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     v = period_for(length)
     w, cover = length - v + 1, np.array(COVERS[v])
     base = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("t")).where((F.length("t") >= length) & F.col("doc").isNotNull())
-    buckets = int(min(200_000, max(12, table_bytes(docs.select(text)) // bucket_bytes)))
+    size = table_bytes(docs.select(text))
+    buckets = max(16, -(-size // min(MOST_BUCKET, max(LEAST_BUCKET, size // FRAMES))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // 8_000_000))
 
     def anchors(batches):
-        sender, powers = _Sender(buckets, True), _Powers()
+        sender, powers, other = _Sender(buckets, True), _Powers(), _Powers(_BASE2)
         for doc, t in arrow_rows(batches):
             codes = char_codes(t)
             n = len(codes)
@@ -238,7 +250,9 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             at = at[at + w <= n]
             c = np.zeros(len(at), np.uint64)
             inner = (at >= v - 1) & (at + length <= n)
-            c[inner] = np.maximum(window_hashes(prefix, down, at[inner] - (v - 1), length + v - 1) & np.uint64((1 << 8 * CONTEXT_BYTES) - 1), np.uint64(1))
+            if inner.any():
+                up2, down2 = other.upto(n + 1)
+                c[inner] = np.maximum(window_hashes(prefix_sums(codes, up2), down2, at[inner] - (v - 1), length + v - 1), np.uint64(1))
             sender.add(window_hashes(prefix, down, at, w), c, doc, at)
             if sender.n >= FLUSH:
                 yield from sender.flush()
@@ -247,7 +261,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     def stretches(batches):
         import pyarrow as pa
 
-        sender, powers = _Sender(buckets, False), _Powers()
+        sender, powers, other = _Sender(buckets, False), _Powers(), _Powers(_BASE2)
         for doc, t, found in arrow_rows(batches):
             codes = char_codes(t)
             n = len(codes)
@@ -259,8 +273,10 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(([-1 - doc % buckets], [doc], [s.tobytes()], [b""], [None], [None], [None]), (pa.int32(), pa.int64(), *[pa.binary()] * 5))], _SENT_NAMES)
             if ask.any():
                 up, down = powers.upto(n + 1)
+                up2, down2 = other.upto(n + 1)
                 at = np.flatnonzero(ask)
-                sender.add(window_hashes(prefix_sums(codes, up), down, at, length), np.zeros(len(at), np.uint64), doc, at)
+                more = window_hashes(prefix_sums(codes, up2), down2, at, length) & np.uint64((1 << 8 * STRETCH_MORE) - 1)
+                sender.add(window_hashes(prefix_sums(codes, up), down, at, length), more, doc, at)
                 if sender.n >= FLUSH:
                     yield from sender.flush()
         yield from sender.flush()
@@ -275,57 +291,40 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), doc)), pa.array(start), pa.array(end)], ["doc_id", "span_start", "span_end"])
 
     met = "doc bigint, pos binary, state binary"
-    found = base.mapInArrow(anchors, _SENT).groupBy("bucket").applyInArrow(_receiver(True), met)
+    found = base.mapInArrow(anchors, _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_receiver(True), met)
     by_doc = Scratch(docs.sparkSession, "sharedspans").table(found.groupBy("doc").agg(F.collect_list(F.struct("pos", "state")).alias("found")))
-    asked = _likely(base, by_doc, table_bytes(docs.select(text))).join(by_doc, "doc").select("doc", "t", "found")
-    marks = asked.mapInArrow(stretches, _SENT).groupBy("bucket").applyInArrow(_receiver(False), met)
+    asked = _likely(base, by_doc, size).join(by_doc, "doc").select("doc", "t", "found")
+    marks = asked.mapInArrow(stretches, _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_receiver(False), met)
     return marks.groupBy("doc").agg(F.collect_list("pos").alias("found")).mapInArrow(regions, "doc_id bigint, span_start bigint, span_end bigint")
 
 
 def _likely(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Rows of base whose doc may be among the wanted ones, so that the join needn't shuffle all texts.
 
-    A Bloom filter of two bits for each document: as many bits as a thirtieth of the input's bytes, 64 MB at most.
+    A Bloom filter of two bits for each document: as many bits as a thirtieth of the input's bytes, MAX_FILTER_BITS at
+    most. Its words are put together by a grouped aggregation, so that no task reads more than its share of them.
     """
-    bits = int(min(1 << 29, max(1 << 16, 8 * (size // 240))))
-
-    def at(doc):
-        x = mix64(doc.astype(np.int64).view(np.uint64))
-        return x % np.uint64(bits), (x >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)
-
-    def part(batches):
-        import pyarrow as pa
-
-        out = np.zeros(bits, bool)
-        for b in batches:
-            for i in at(b.column(0).to_numpy(zero_copy_only=False)):
-                out[i] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["b"])
-
-    def join(batches):
-        import pyarrow as pa
-
-        out = None
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                y = np.frombuffer(x, np.uint8)
-                out = y if out is None else out | y
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()] if out is not None else [], pa.binary())], ["b"])
-
-    merged = wanted.select("doc").mapInArrow(part, "b binary").coalesce(1).mapInArrow(join, "b binary").collect()
-    sent = base.sparkSession.sparkContext.broadcast(merged[0]["b"] if merged else b"")
+    bits = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (size // 30).bit_length()))
+    doc = F.col("doc")
+    places = wanted.select(F.explode(F.array(*(F.pmod(F.xxhash64(doc, F.lit(i)), F.lit(bits)) for i in (0, 1)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
+    filled, table = words.toArrow(), np.zeros(bits // 64, np.int64)  # at most bits / 64 rows
+    table[filled.column("i").to_numpy()] = filled.column("v").to_numpy()
+    sent = base.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def keep(batches):
+        has = np.frombuffer(sent.value, np.uint8)
         import pyarrow as pa
 
-        if not sent.value:
-            return
-        has = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
         for b in batches:
-            i, j = at(b.column(0).to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array(has[i] & has[j]))
-
-    return base.mapInArrow(keep, "doc bigint, t string")
+            ok = np.ones(b.num_rows, bool)
+            for c in ("p", "q"):
+                p = b.column(c).to_numpy(zero_copy_only=False)
+                ok &= (has[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+            yield b.select(["doc", "t"]).filter(pa.array(ok))
+
+    asked = base.select("doc", "t", *(F.pmod(F.xxhash64(doc, F.lit(i)), F.lit(bits)).alias(c) for i, c in ((0, "p"), (1, "q"))))
+    return asked.mapInArrow(keep, "doc bigint, t string")
 
 
 def _cover(anchor: np.ndarray, v: int, n: int) -> np.ndarray:
