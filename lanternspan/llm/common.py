@@ -124,6 +124,12 @@ def arrow_rows(batches) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in b.columns))
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """df with a partition or more for each core: small files with few row groups would leave most cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; for scans the size of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
