@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
-from .prose import PROSE
+from .common import hash_sample, spread_rows
+from .prose import OTHER_PROSE, PROSE
 
 #: Encoding chains as (written with, read with), the order in which the text was spoilt.
 CHAINS = {
@@ -45,6 +45,10 @@ CHAINS = {
     "cp1252>cp437": [("cp1252", "cp437")],
     "cp1252>cp850": [("cp1252", "cp850")],
     "mac-roman>cp1252": [("mac-roman", "cp1252")],
+    "iso8859-5>cp1251": [("iso8859-5", "cp1251")],
+    "iso8859-5>cp1252": [("iso8859-5", "cp1252")],
+    "utf-8>iso8859-2": [("utf-8", "iso8859-2")],
+    "cp852>cp1252": [("cp852", "cp1252")],
 }
 CLEAN = "clean"
 #: Signs that occur in good text; lines whose only other characters are ASCII need no look.
@@ -54,8 +58,13 @@ _LOOK = re.compile(f"[^\x00-\x7f{USUAL}]")
 #: Letters of the five languages, and of transliterations met in them.
 _LETTERS = "абвгґдеєжзиіїйклмнопрстуфхцчшщьюяёыэъąćęłńóśźżäöüßáéíñúçïâôàè"
 GOOD = frozenset(_LETTERS + _LETTERS.upper() + USUAL + "¿¡ºª·\xa0´§")
-#: What is left of lost characters: the replacement character, or question marks instead of whole words.
-LOST = re.compile("\ufffd|[?]{4}")
+#: What is left of lost characters: the replacement character, or question marks instead of whole words: a long run of
+#: them, or one among others. A single short run is a placeholder or meant.
+LOST = re.compile(r"\ufffd|[?]{6}|[?]{4}[^?\n]{1,3}[?]{2}|[?]{2}[^?\n]{1,3}[?]{4}")
+#: Documents of which clean lines are learned from, at most.
+SAMPLE = 300
+#: How much better a restored line must be than the line as it was, under the model of clean text (nats for a pair of bytes).
+MARGIN = 0.3
 
 
 @functools.cache
@@ -117,12 +126,14 @@ def byte_bigrams(text: str) -> np.ndarray:
     return (pair * np.uint32(0x9E3779B1)) >> np.uint32(18)
 
 
-def _training_rows() -> dict[str, list[str]]:
-    """Clean and garbled lines: the texts of PROSE as they are, in upper case, and as single words."""
+def _training_rows(sample: tuple[str, ...] = ()) -> dict[str, list[str]]:
+    """Clean and garbled lines: PROSE and the sample as they are and in upper case, the words of PROSE also alone. Lines of other
+    languages are clean only: letters that the five languages lack are no sign of garbling."""
     lines = [x for t in PROSE.values() for x in t.split("\n")]
     lines += [x.upper() for x in lines]
     lines += [f" {w} " for x in lines for w in x.split() if not w.isascii() and len(w) > 3]
-    rows = {CLEAN: list(lines)}
+    lines += [y for x in sample for y in (x, x.upper())]
+    rows = {CLEAN: [*lines, *(y for x in OTHER_PROSE for y in (x, x.upper())), *OTHER_PROSE * (len(sample) // 200)]}
     for chain in CHAINS:
         rows[chain] = [g for x in lines if (g := garble(x, chain)) is not None and g != x]
     # letters of another alphabet or with an accent inside ordinary words are typing habits, not garbling
@@ -133,15 +144,35 @@ def _training_rows() -> dict[str, list[str]]:
     return rows
 
 
+class Classifier:
+    """Log-probabilities of the hashed bigrams under each chain and under clean text (multinomial, add-0.05 smoothing)."""
+
+    def __init__(self, sample: tuple[str, ...] = ()):
+        rows = _training_rows(sample)
+        self.names, table = list(rows), np.empty((len(rows), BUCKETS), np.float32)
+        for i, texts in enumerate(rows.values()):
+            n = np.bincount(np.concatenate([byte_bigrams(t) for t in texts]), minlength=BUCKETS) + 0.05
+            table[i] = np.log(n / n.sum())
+        self.table = np.ascontiguousarray(table.T)  # a row for each bigram
+
+    def scores(self, text: str) -> np.ndarray:
+        return self.table[byte_bigrams(text)].sum(0)
+
+    def clean(self, text: str) -> float:
+        """Mean log-probability of the text's bigrams under clean text; -10 for a text without any."""
+        b = byte_bigrams(text)
+        return float(self.table[b, self.names.index(CLEAN)].mean()) if len(b) else -10.0
+
+
 @functools.cache
-def classifier() -> tuple[list[str], np.ndarray]:
-    """Chains and the log-probabilities of the hashed bigrams under each (multinomial, add-0.05 smoothing)."""
-    rows = _training_rows()
-    names, table = list(rows), np.empty((len(rows), BUCKETS))
-    for i, texts in enumerate(rows.values()):
-        n = np.bincount(np.concatenate([byte_bigrams(t) for t in texts]), minlength=BUCKETS) + 0.05
-        table[i] = np.log(n / n.sum())
-    return names, table
+def classifier() -> Classifier:
+    """The classifier of the built-in lines alone."""
+    return Classifier()
+
+
+def clean_lines(texts, most: int = 100) -> tuple[str, ...]:
+    """Lines with other than ASCII characters that show no mark of garbling, cut to `most` characters."""
+    return tuple(x[:most] for t in texts for x in t.split("\n") if not x.isascii() and not _ODD.search(x))
 
 
 _SAME_SHAPE = str.maketrans("асеорхуіјкмтвнАСЕОРХУІЈКМТВН", "aceopxyijkmtbhACEOPXYIJKMTBH")
@@ -187,27 +218,30 @@ _CONTROL = re.compile("[\x7f-\x9f]")
 _MIXED = re.compile(r"\S*[^\x00-\x7f]\S*(?:[ \xa0]\S*[^\x00-\x7f]\S*)*")
 
 
-def restore_line(line: str, tries: int | None = None) -> tuple[str, str | None]:
+def restore_line(line: str, model: Classifier | None = None) -> tuple[str, str | None]:
     """(restored line, chain), or the line itself and None. The classifier orders the chains; the first whose
     inverse decodes strictly and leaves nothing strange holds, or else the one that leaves the least. Where the whole line doesn't decode, its runs of
-    words with other than ASCII characters are taken one by one."""
+    words with other than ASCII characters are taken one by one.
+
+    A restoration has to be likelier clean text than the line was, by MARGIN, and to give the line again when it is
+    garbled by the chain, so good text in any language stays as it is."""
     probe = " ".join(w for w in line.split(" ") if not w.isascii())  # plain words bear no evidence
     before = strangeness(probe)
     if before < 0.3:  # no mark but a word or two in capitals, such as РНОКПП, which tell nothing
         return line, None
-    names, table = classifier()
-    score = table[:, byte_bigrams(without_lookalikes(probe))].sum(1)
-    best = (before, None)
+    model = model or classifier()
+    score, names = model.scores(without_lookalikes(probe)), model.names
+    best, floor = (before, None), model.clean(without_lookalikes(probe)) + MARGIN
     order = np.argsort(-score, kind="stable")
     if _GARBLED.search(probe):  # UTF-8 hardly decodes by chance, and single signs are too short for the classifier
         order = sorted(order, key=lambda i: not names[i].startswith("utf-8"))
-    for i in order[:tries]:
+    for i in order:
         if names[i] == CLEAN:
             if before < 2:
                 break
             continue
         out = _undo(probe, names[i])
-        if out != probe and not _CONTROL.search(out) and (s := strangeness(out)) < best[0]:
+        if out != probe and not _CONTROL.search(out) and (s := strangeness(out)) < best[0] and model.clean(out) >= floor and _again(probe, out, names[i]):
             best = (s, names[i])
             if not s:
                 break
@@ -217,22 +251,30 @@ def restore_line(line: str, tries: int | None = None) -> tuple[str, str | None]:
     if strangeness(out) >= strangeness(line):
         return line, None
     if best[0] >= 2:
-        again, more = restore_line(out, tries)
+        again, more = restore_line(out, model)
         return again, best[1] + (f", {more}" if more else "")
     return out, best[1]
 
 
+def _again(text: str, out: str, chain: str) -> bool:
+    """Whether the chain makes the text from what was restored, wholly or in the runs that were taken one by one."""
+    whole = garble(out, chain)
+    if whole == text:
+        return True
+    return all(x == y or garble(y, chain) == x for x, y in zip(text.split(" "), out.split(" "))) if len(text.split(" ")) == len(out.split(" ")) else invert(text, chain) is None
+
+
 def _undo(text: str, chain: str) -> str:
     out = invert(text, chain)
     return _MIXED.sub(lambda m: invert(m[0], chain) or m[0], text) if out is None else out
 
 
-def restore(text: str) -> tuple[str, list[str], bool]:
+def restore(text: str, model: Classifier | None = None) -> tuple[str, list[str], bool]:
     """(restored text, chains found, whether characters are lost for good)."""
     chains, out = [], []
     for line in text.split("\n"):
         if not line.isascii() and _ODD.search(line):
-            line, chain = restore_line(line)
+            line, chain = restore_line(line, model)
             if chain:
                 chains.append(chain)
         out.append(line)
@@ -241,33 +283,37 @@ def restore(text: str) -> tuple[str, list[str], bool]:
         for i, line in enumerate(out):
             if first in CHAINS and _LOOK.search(line):
                 back = invert(line, first)
-                if back and back != line and strangeness(back) < strangeness(line):
+                if back and back != line and strangeness(back) < strangeness(line) and (model or classifier()).clean(back) > (model or classifier()).clean(line):
                     out[i] = back
     return "\n".join(out), sorted(set(chains)), bool(LOST.search(text))
 
 
-def repair(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repair(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(key, restored, chains, lost): a row for each document with a wrongly decoded sequence.
 
-    Every line with an unusual character is classified by its hashed byte bigrams, the predicted chain inverted
-    and kept where it decodes strictly; replacement characters (U+FFFD) or question marks in place of words tell
+    The classifier learns from built-in lines and the clean lines of at most `sample` documents, each garbled by every
+    chain. Every line with an unusual character is classified by its hashed byte bigrams, the predicted chain inverted
+    and kept where it decodes strictly and gives likelier clean text; replacement characters (U+FFFD) or question marks in place of words tell
     of lost characters, which stay as they are (lost = true). Texts of ASCII characters are passed over in the JVM. Null and empty texts give no row.
     """
 
+    look = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[^\\x00-\\x7f]|[?]{4}"))
+    learned = hash_sample(look, key, F.col("t").rlike("[\\u0100-\\u024f\\u0400-\\u04ff]"), sample, 0.1).select(F.substring("t", 1, 20_000).alias("t")).collect()
+    model = docs.sparkSession.sparkContext.broadcast(Classifier(clean_lines(r["t"] for r in learned)))
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             rows = []
             for k, t in zip(*(c.to_pylist() for c in b.columns)):
-                restored, chains, lost = restore(t)
+                restored, chains, lost = restore(t, model.value)
                 if chains or lost:
                     rows.append((k, restored, " | ".join(chains), lost))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))], [key, "restored", "chains", "lost"])
 
-    look = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("t")).where(F.col("t").rlike("[^\\x00-\\x7f]|[?]{4}"))
-    return look.mapInArrow(run, f"{key} bigint, restored string, chains string, lost boolean")
+    return spread_rows(look).mapInArrow(run, f"{key} bigint, restored string, chains string, lost boolean")
 
 
 def p7_found(spark, d):

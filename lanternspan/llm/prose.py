@@ -55,3 +55,25 @@ Sobre mí: me gusta aprender, leo libros, monto en bicicleta y juego al ajedrez
 Tras el cambio al nuevo sistema, el número de errores bajó y la velocidad aumentó el doble.
 Aquí también está la dirección: calle del Olmo, 12, 3º izquierda, a 1ª hora.""",
 }
+
+#: Ordinary sentences in languages beside the five, so that their letters count as clean text.
+OTHER_PROSE = (
+    "Hledáme zkušeného programátora, který umí řídit malý tým a připravit přehledné zprávy. Nabízíme příjemné prostředí, školení a pružnou pracovní dobu. Těšíme se na váš životopis, ať už jste odkudkoli z České republiky.",
+    "Hľadáme skúseného vývojára, ktorý vie viesť menší tím a pripraviť prehľadné správy. Ponúkame školenia, príjemné prostredie a pružný pracovný čas v Košiciach.",
+    "Iščemo izkušenega razvijalca, ki zna voditi manjšo ekipo in pripraviti poročila. Nudimo izobraževanja, prijetno okolje in možnost dela od doma. Tražimo iskusnog programera koji želi učiti i raditi s mladim timom, već od rujna.",
+    "Nous recherchons un développeur expérimenté, prêt à gérer une petite équipe où l’on apprend beaucoup. Les tâches sont variées: conception, maîtrise de la qualité, suivi des fenêtres de mise à jour. Rédigé à l’été, cet œuvre reçut dès lors un écho très fort. Ça coûte peut-être plus, mais le résultat est là: sûr, complet et prêt à être livré.",
+    "Procuramos um programador experiente que saiba gerir uma pequena equipa e preparar relatórios. Oferecemos formação, boas condições e horário flexível. Não é necessário viajar; as reuniões são às quartas. A solução já está em produção há três anos, com ótima avaliação dos usuários.",
+    "Cerchiamo uno sviluppatore esperto, perché la qualità è la nostra priorità. Chi lavorerà da noi potrà crescere: la città è bella, l’età non conta, e così più libertà per tutti.",
+    "Cautăm un programator cu experiență care știe să conducă o echipă mică și să pregătească rapoarte. Oferim instruire, condiții bune și program flexibil în orașul Iași, fără deplasări. Această funcție înseamnă și răspundere față de clienți.",
+    "Vi söker en erfaren utvecklare som kan leda ett mindre lag och förbereda rapporter. Vi erbjuder utbildning, trevlig miljö och flexibel arbetstid på vårt kontor i Göteborg, även på distans. Åtgärder för säkerhet är också viktiga.",
+    "Vi søger en erfaren udvikler, der kan lede et mindre hold og lægge klare planer. Vi tilbyder efteruddannelse, et godt miljø og fleksibel arbejdstid på vores kontor i Århus. Også nye øvelser hører til, når vi går i gang. Å være på laget vårt gjør jobben både lærerik og hyggelig; søk nå så får du svar før påske.",
+    "Etsimme kokenutta kehittäjää, joka pystyy johtamaan pientä tiimiä ja hyväksymään myös pitkiä päiviä. Työ tehdään pääosin Jyväskylässä, ja sisältää täysin uusia tehtäviä. Otsime kogenud arendajat, kes räägib hästi eesti keelt ja õpib kiiresti; töökoht on Võrus, algus järgmisel kevadel. Öö ja päev.",
+    "Tapasztalt fejlesztőt keresünk, aki tud vezetni egy kisebb csapatot és áttekinthető jelentéseket készít. Képzést, jó körülményeket és rugalmas munkaidőt kínálunk győri irodánkban. Fontos, hogy Ön önállóan is tudjon dolgozni, és jól beszéljen angolul.",
+    "Deneyimli bir yazılım geliştirici arıyoruz; küçük bir ekibi yönetmeli ve açık raporlar hazırlamalı. Eğitim, güzel bir ortam ve esnek çalışma saatleri sunuyoruz. Şirketimiz İzmir’de, görüşmeler çevrim içi yapılır. Çağrı ve ölçüm işleri için güçlü iletişim şarttır.",
+    "Meklējam pieredzējušu izstrādātāju, kurš prot vadīt nelielu komandu un gatavot pārskatus. Piedāvājam apmācību un elastīgu darba laiku Rīgā. Ieškome patyrusio kūrėjo, kuris moka vadyti nedidelę komandą ir ruošti ataskaitas; siūlome mokymus, gerą aplinką ir lankstų grafiką Šiauliuose, įskaitant žiemą.",
+    "Við leitum að reyndum forritara sem getur stýrt litlum hópi og skrifað skýrslur. Við bjóðum námskeið, þægilegt umhverfi og sveigjanlegan vinnutíma á skrifstofu okkar í Reykjavík. Það þarf að þekkja íslensku og ensku, æskilegt er líka önnur reynsla.",
+    "Chúng tôi tìm lập trình viên có kinh nghiệm, biết quản lý nhóm nhỏ và chuẩn bị báo cáo rõ ràng. Chúng tôi đào tạo, môi trường tốt và giờ làm việc linh hoạt tại Hà Nội. Ứng viên cần giao tiếp được bằng tiếng Anh.",
+    "Αναζητούμε έμπειρο προγραμματιστή που μπορεί να διευθύνει μια μικρή ομάδα και να ετοιμάζει σαφείς αναφορές. Προσφέρουμε εκπαίδευση, καλό περιβάλλον και ευέλικτο ωράριο στο γραφείο μας στη Θεσσαλονίκη. Η γνώση αγγλικών είναι απαραίτητη, ενώ η εμπειρία μετράει.",
+    "Ищем опытного разработчика, который умеет руководить небольшой командой и готовить понятные отчёты. Предлагаем обучение, хорошие условия и гибкий график. Объём работы разный, всё обсуждается; этот опыт вы сможете применить и дальше. Съёмка, подъезд, ещё и выходные дни.",
+    "Търсим опитен разработчик, който може да ръководи малък екип и да подготвя ясни отчети. Предлагаме обучение, добри условия и гъвкаво работно време във Варна. Тражимо искусног програмера који уме да води мањи тим и прави јасне извештаје; нудимо обуку, добре услове и љубазно друштво, већ од јесени.",
+)
