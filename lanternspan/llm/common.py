@@ -135,6 +135,12 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a column: Catalyst's estimate where it knows the files, else (a petabyte or more is a guess) a pass over it."""
+    n = table_bytes(df.select(column))
+    return n if n < 1 << 50 else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
 def hash_sample(df: DataFrame, key: str, wanted, size: int, share: float) -> DataFrame:
     """The `size` rows that are wanted (a condition) with the smallest hashes of their keys.
 

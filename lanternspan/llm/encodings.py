@@ -223,7 +223,7 @@ def restore_line(line: str, model: Classifier | None = None) -> tuple[str, str |
     inverse decodes strictly and leaves nothing strange holds, or else the one that leaves the least. Where the whole line doesn't decode, its runs of
     words with other than ASCII characters are taken one by one.
 
-    A restoration has to be likelier clean text than the line was, by MARGIN, and to give the line again when it is
+    A restoration has to be likelier clean text than the line was, by MARGIN, or to decode from UTF-8 wholly, and to give the line again when it is
     garbled by the chain, so good text in any language stays as it is."""
     probe = " ".join(w for w in line.split(" ") if not w.isascii())  # plain words bear no evidence
     before = strangeness(probe)
@@ -241,7 +241,7 @@ def restore_line(line: str, model: Classifier | None = None) -> tuple[str, str |
                 break
             continue
         out = _undo(probe, names[i])
-        if out != probe and not _CONTROL.search(out) and (s := strangeness(out)) < best[0] and model.clean(out) >= floor and _again(probe, out, names[i]):
+        if out != probe and not _CONTROL.search(out) and (s := strangeness(out)) < best[0] and (model.clean(out) >= floor or _decodes(probe, names[i])) and _again(probe, out, names[i]):
             best = (s, names[i])
             if not s:
                 break
@@ -256,6 +256,12 @@ def restore_line(line: str, model: Classifier | None = None) -> tuple[str, str |
     return out, best[1]
 
 
+def _decodes(text: str, chain: str) -> bool:
+    """Whether the whole text is valid UTF-8 read otherwise, with several sequences, which good text hardly is by chance."""
+    out = invert(text, chain) if chain.startswith("utf-8") else None
+    return out is not None and len(text) - len(out) >= 3
+
+
 def _again(text: str, out: str, chain: str) -> bool:
     """Whether the chain makes the text from what was restored, wholly or in the runs that were taken one by one."""
     whole = garble(out, chain)

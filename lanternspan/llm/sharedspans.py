@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, char_codes, mix64, table_bytes
+from .common import Scratch, arrow_rows, char_codes, mix64, text_bytes
 
 #: Perfect difference sets; each residue modulo the period is a difference of two members.
 COVERS = {
@@ -235,7 +235,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     v = period_for(length)
     w, cover = length - v + 1, np.array(COVERS[v])
     base = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("t")).where((F.length("t") >= length) & F.col("doc").isNotNull())
-    size = table_bytes(docs.select(text))
+    size = text_bytes(docs, text)
     buckets = max(16, -(-size // min(MOST_BUCKET, max(LEAST_BUCKET, size // FRAMES))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // 8_000_000))
 
