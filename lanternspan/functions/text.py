@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 
 from . import lexicon as lx
 
-#: White space as in Unicode, both ends.
-ENDS = r"(?U)^\s+|\s+$"
+#: White space as in Unicode: the line end, and the rest.
+BLANKS = "\t\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = r"\t\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space at both ends.
+ENDS = rf"^[\n{_BLANK}]+|[\n{_BLANK}]+$"
+#: Characters of words, those of ASCII first, which is the quick way through the class.
+_WORD = r"a-zA-Z0-9_\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
 
 
-def stringify(c, strip: bool = True) -> Column:
-    """Text of a value, null as empty; stripped at both ends unless strip is False."""
+def strip(c: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(c, F.lit("\n" + BLANKS))
+
+
+def stringify(c, trim: bool = True) -> Column:
+    """Text of a value, null as empty; stripped at both ends unless trim is False."""
     t = F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(""))
-    return F.regexp_replace(t, ENDS, "") if strip else t
+    return F.btrim(t, F.lit("\n" + BLANKS)) if trim else t
 
 
 def hub_text(c) -> Column:
@@ -28,21 +38,20 @@ def hub_text(c) -> Column:
 def clean_text(c: Column, replacements: dict[str, str] = lx.MANUAL_TEXT_REPLACEMENTS) -> Column:
     """Fixed replacements in their order, one kind of line end, no blanks around line ends, single blanks, at most one empty line."""
     t = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), replacements.items(), c)
-    t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n")
-    t = F.regexp_replace(t, r"[ \t]{2,}", " ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"(?U)(?:(?!\n)\s)*\n(?:(?!\n)\s)*", "\n")
-    return F.regexp_replace(F.regexp_replace(t, ENDS, ""), r"\n{3,}", "\n\n")
+    t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    t = F.regexp_replace(t, r"(?<![ \t])[ \t]*+\n[ \t]*+", "\n")
+    t = F.regexp_replace(t, r"[ \t]{2,}+", " ")
+    t = F.regexp_replace(t, rf"(?<![{_BLANK}])[{_BLANK}]*+\n[{_BLANK}]*+", "\n")
+    return F.regexp_replace(strip(t), r"\n{3,}+", "\n\n")
 
 
 def count_words(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?U)\b[\w+#./-]+\b")).cast("bigint")
+    return F.regexp_count(c, F.lit(rf"[{_WORD}](?:[{_WORD}+#./-]*[{_WORD}])?")).cast("bigint")
 
 
 def collapse(c: Column) -> Column:
     """Lower case, runs of white space as one blank, stripped: the key of exact duplicates and of span texts."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), rf"[\n{_BLANK}]++", " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -77,7 +86,7 @@ def tokenize(c: Column) -> Column:
 
 def ngrams(c: Column, size: int = 3) -> Column:
     """Distinct character n-grams of the text without white space; a shorter text is its own; empty gives none."""
-    t = F.regexp_replace(normalize_text(c), r"(?U)\s+", "")
+    t = F.replace(normalize_text(c), F.lit(" "), F.lit(""))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - size + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(size)))
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
@@ -120,10 +129,10 @@ def fact_type(c: Column) -> Column:
 def foreign_label(c: Column, label_map: dict[str, str] | None = None) -> Column:
     """A third party's label: the map by the whole, by the part before a colon, then by both in capitals; then aliases."""
     raw = stringify(c)
-    head = F.regexp_replace(F.substring_index(raw, ":", 1), ENDS, "")
+    head = strip(F.substring_index(raw, ":", 1))
     m = F.create_map(*(F.lit(x) for kv in (label_map or {"": ""}).items() for x in kv))
     mapped = F.coalesce(*(F.try_element_at(m, x) for x in (raw, head, F.upper(raw), F.upper(head))), head)
-    key = F.replace(F.upper(F.regexp_replace(mapped, ENDS, "")), F.lit(" "), F.lit("_"))
+    key = F.replace(F.upper(strip(mapped)), F.lit(" "), F.lit("_"))
     v = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in lx.SOURCE_LABEL_ALIASES.items() for x in kv)), key), key)
     return F.when(v.isin(*lx.ENTITY_LABELS), v)
 

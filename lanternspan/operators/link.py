@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,14 @@ def targets(spark, table=lx.LABEL_TARGET_TYPES) -> DataFrame:
 def candidates(mentions: DataFrame, entries: DataFrame, limit: int = 256, min_overlap: int = 1) -> DataFrame:
     """(label, text, entry_id, block_score): for each distinct mention (label, text) at most `limit` entries.
 
-    Entries that share a token, ranked by the Jaccard similarity of the token sets; mentions without one are matched
+    Entries whose title or aliases share a token, ranked by the Jaccard similarity of the token sets; mentions without one are matched
     by character trigrams instead. Both are equi-joins on a token and an allowed entry type; ties go to the entry_id.
     """
     spark = mentions.sparkSession
     m = mentions.select(F.upper("label").alias("label"), "text").where("text is not null").distinct()
     m = m.join(F.broadcast(targets(spark)), "label").withColumn("ts", F.array_distinct(tx.tokenize(F.col("text")))).withColumn("gs", tx.ngrams(F.col("text")))
-    e = entries.select("entry_id", "entry_type", F.array_distinct(tx.tokenize(F.col("normalized_text"))).alias("ets"), tx.ngrams(F.col("normalized_text")).alias("egs"))
+    names = F.concat_ws(" ", "title", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
+    e = entries.select("entry_id", "entry_type", F.array_distinct(tx.tokenize(names)).alias("ets"), tx.ngrams(names).alias("egs"))
 
     def block(left: DataFrame, a: str, b: str, least: int) -> DataFrame:
         x = left.select("label", "text", "entry_type", F.size(a).alias("n"), F.explode(a).alias("g"))
@@ -101,15 +104,73 @@ def link(mentions: DataFrame, entries: DataFrame, top_k: int = 5, min_score: flo
 
 
 def mapping_summary(mentions: DataFrame, links: DataFrame, by_record: bool = False) -> DataFrame:
-    """Mentions, supported and mapped ones by label (null: all), with the rate mapped / max(supported, 1)."""
+    """Mentions, supported and mapped ones by label (null: all) or by record, the rate mapped / max(supported, 1), and the
+    average score of the best links, 0 without any."""
     supported = F.upper("label").isin(*lx.LABEL_TARGET_TYPES)
     mapped = links.where("rank = 1").select("record_id", "mention_id", F.lit(1).alias("_m"), F.col("score").alias("_s"))
     d = mentions.join(mapped, ["record_id", "mention_id"], "left").withColumn("label", F.upper("label")).withColumn("_ok", supported.cast("bigint"))
     g = d.groupBy("record_id") if by_record else d.rollup("label")
-    out = g.agg(F.count("*").alias("entities"), F.sum("_ok").alias("supported"), F.count("_m").alias("mapped"), F.avg("_s").alias("average_best_score"))
+    out = g.agg(F.count("*").alias("entities"), F.sum("_ok").alias("supported"), F.count("_m").alias("mapped"), F.coalesce(F.avg("_s"), F.lit(0.0)).alias("average_best_score"))
     return out.withColumn("mapped_rate", F.col("mapped") / F.greatest(F.col("supported"), F.lit(1)))
 
 
+def record_label_counts(mentions: DataFrame, links: DataFrame) -> DataFrame:
+    """(record_id, by_label map<label, struct<entities, supported, mapped>>)."""
+    d = mentions.join(links.where("rank = 1").select("record_id", "mention_id", F.lit(1).alias("_m")), ["record_id", "mention_id"], "left").withColumn("label", F.upper("label"))
+    ok = F.col("label").isin(*lx.LABEL_TARGET_TYPES).cast("bigint")
+    n = d.groupBy("record_id", "label").agg(F.count("*").alias("entities"), F.sum(ok).alias("supported"), F.count("_m").alias("mapped"))
+    return n.groupBy("record_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.struct("entities", "supported", "mapped").alias("n"))))).alias("by_label"))
+
+
+def record_mappings(mentions: DataFrame, links: DataFrame) -> DataFrame:
+    """(record_id, mappings): a record's mentions in order, each with whether its label is supported, the entry types it
+    may mean and its candidates, best first; mentions without candidates have none. mentions may have start, end and
+    normalized."""
+    none = lambda c, ty: F.col(c) if c in mentions.columns else F.lit(None).cast(ty)
+    fields = [c for c in ("rank", "entry_id", "entry_type", "onetsoc_code", "score", "lexical_score", "semantic_score", "context_boost") if c in links.columns]
+    c = links.groupBy("record_id", "mention_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("candidates"))
+    label = F.upper(tx.stringify("label"))
+    types = F.create_map(*(x for k, ts in lx.LABEL_TARGET_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, ts)))))
+    m = mentions.select("record_id", "mention_id", label.alias("entity_label"), F.col("text").alias("entity_text"), none("start", "int").alias("start"), none("end", "int").alias("end"), none("normalized", "string").alias("normalized"))
+    m = m.join(c, ["record_id", "mention_id"], "left").withColumn("target_entry_types", F.coalesce(F.try_element_at(types, F.col("entity_label")), F.array().cast("array<string>")))
+    one = F.struct(F.col("mention_id").alias("entity_index"), "entity_label", "entity_text", "start", "end", "normalized", (F.size("target_entry_types") > 0).alias("supported"), "target_entry_types", F.coalesce("candidates", F.filter(F.array(F.lit(None).cast(c.schema["candidates"].dataType.elementType)), lambda x: x.isNotNull())).alias("candidates"))
+    return m.groupBy("record_id").agg(F.sort_array(F.collect_list(one)).alias("mappings"))
+
+
+def entry_text(title: Column, aliases: Column) -> Column:
+    """What an embedder reads of an entry: its title, and its aliases behind it."""
+    return F.when(F.size(aliases) > 0, F.concat(title, F.lit(". "), F.array_join(aliases, "; "))).otherwise(title)
+
+
+def semantic_scores(pairs: DataFrame, entries: DataFrame, embed: Callable[[list[str]], "list[list[float]]"], batch: int = 64) -> DataFrame:
+    """(text, entry_id, semantic_score) of candidate pairs (text, entry_id) by an embedder: texts in, a vector for each
+    out, which runs in the tasks. Each distinct text and entry is embedded once; vectors are brought to unit length."""
+
+    def vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                for i in range(0, len(pdf), batch):
+                    part = pdf.iloc[i : i + batch]
+                    yield part[[key]].assign(v=[[float(x) for x in v] for v in embed(part[text].tolist())])
+
+        d = df.select(F.col(key), F.col(text)).mapInPandas(run, f"{key} string, v array<double>")
+        return d.select(key, unit(F.col("v")).alias("v"))
+
+    t = pairs.select("text", F.col("text").alias("t")).distinct()
+    e = entries.select("entry_id", entry_text(F.col("title"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("t"))
+    a, b = vectors(t, "text", "t").withColumnRenamed("v", "x"), vectors(e, "entry_id", "t").withColumnRenamed("v", "y")
+    return pairs.select("text", "entry_id").distinct().join(a, "text").join(b, "entry_id").select("text", "entry_id", cosine(F.col("x"), F.col("y")).alias("semantic_score"))
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """Unit mean of the token vectors whose mask is 1 (array<array<double>>, array<int>); zeros where no mask is."""
+    n = F.greatest(F.aggregate(mask, F.lit(0), lambda s, x: s + x), F.lit(1))
+    zero = F.transform(F.coalesce(F.get(vectors, F.lit(0)), F.array().cast("array<double>")), lambda x: F.lit(0.0))
+    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda p: p["m"] == 1)
+    total = F.aggregate(kept, zero, lambda s, p: F.zip_with(s, p["v"], lambda x, y: x + y))
+    return unit(F.transform(total, lambda x: x / n))
+
+
 def record_codes(links: DataFrame, k: int = 5) -> DataFrame:
     """(record_id, top_codes, role_codes): the k most frequent codes of best links, ties by first mention, and the role codes in order."""
     b = links.where("rank = 1 and onetsoc_code <> ''")

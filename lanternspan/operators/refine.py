@@ -39,7 +39,7 @@ def is_activity(t: Column) -> Column:
 
 def span_key(normalized: Column, span: Column) -> Column:
     """What a span is judged by: its normalized text, or else its text, in lower case with single blanks."""
-    return tx.collapse(F.coalesce(F.nullif(tx.stringify(normalized, strip=False), F.lit("")), tx.stringify(span)))
+    return tx.collapse(F.coalesce(F.nullif(tx.stringify(normalized, trim=False), F.lit("")), tx.stringify(span)))
 
 
 def drop_span(label: Column, t: Column) -> Column:

@@ -23,12 +23,25 @@ def is_it(keyword: Column, position: Column, text: Column, strict: bool = False,
     return F.when(k.isin(*keywords), True).when(k.isin(*ambiguous), tx.any_of(body, signals)).otherwise(False)
 
 
+def mark_repeats(d: DataFrame, keys: list[str], pos: str, name: str, salts: int = 1024) -> DataFrame:
+    """d with the column `name`: whether a row with equal keys and a smaller `pos` exists; false where the last key is null.
+
+    Two ranking windows: by key and salt of the position, then by key over the first rows of the salts alone, so that
+    a group of any size never meets in one task. Rows without a key, and those that the first window has settled, are
+    spread by their position. The rows are computed once and nothing is joined.
+    """
+    free, null = F.xxhash64(pos), F.col(keys[-1]).isNull()
+    rank = lambda: F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(pos))
+    d = d.withColumn("_s", F.when(null, free).otherwise(F.pmod(free, F.lit(salts)))).withColumn("_r", rank())
+    d = d.withColumn("_s", F.when(null | (F.col("_r") > 1), free).otherwise(F.lit(-1)))
+    return d.withColumn("_q", rank()).withColumn(name, ~null & ((F.col("_r") > 1) | (F.col("_q") > 1))).drop("_s", "_r", "_q")
+
+
 def with_drop_reason(df: DataFrame, *, id: str = "id", doc_type: str = "doc_type", language: str = "source_language", text: str = "text", keyword: str = "primary_keyword", position: str = "position", pos: str = "pos", it_only: bool = False, min_chars=(200, 350), min_words=(30, 50)) -> DataFrame:
     """All columns with the cleaned text, its metrics and drop_reason, the first that fails; null for kept rows.
 
-    Duplicates count among survivors only: the first by `pos` within a document type and collapsed text stays. The
-    window is over a hash of the text, so its shuffle carries no texts twice; hot texts are split by a partial
-    minimum first.
+    Duplicates count among survivors only: the first by `pos` within a document type and collapsed text stays. Texts
+    are cleaned once (see mark_repeats); the windows carry them only where a later step reads them.
     """
     kind = F.lower(tx.stringify(doc_type))
     lang = F.lower(tx.stringify(language))
@@ -40,11 +53,9 @@ def with_drop_reason(df: DataFrame, *, id: str = "id", doc_type: str = "doc_type
         reason = reason.when(~is_it(F.col(keyword), F.col(position), F.col(text)), "non_it")
     reason = reason.when(low("text_length", min_chars) | low("word_count", min_words), "short_or_sparse")
     d = d.withColumn("drop_reason", reason).withColumn("_key", F.when(F.col("drop_reason").isNull(), F.sha2(tx.collapse(F.col(text)), 256)))
-    first = d.where("_key is not null").groupBy("_kind", "_key").agg(F.min(pos).alias("_first")).withColumnRenamed("_kind", "_k2").withColumnRenamed("_key", "_h2")
-    d = d.join(first, (F.col("_kind") == F.col("_k2")) & (F.col("_key") == F.col("_h2")), "left")
-    d = d.withColumn("drop_reason", F.when(F.col("_first").isNotNull() & (F.col(pos) > F.col("_first")), "duplicate_text").otherwise(F.col("drop_reason")))
+    d = mark_repeats(d, ["_kind", "_key"], pos, "_again").withColumn("drop_reason", F.when(F.col("_again"), "duplicate_text").otherwise(F.col("drop_reason")))
     group = F.concat(F.coalesce(F.nullif(F.col(keyword), F.lit("")), F.lit("unknown")), F.lit("::"), F.col("length_bucket"))
-    return d.withColumn("seed_group", group).drop("_kind", "_key", "_k2", "_h2", "_first")
+    return d.withColumn("seed_group", group).drop("_kind", "_key", "_again")
 
 
 def drop_counts(df: DataFrame) -> DataFrame:
@@ -72,5 +83,22 @@ def seed_subset(df: DataFrame, n_cv: int, n_jd: int, seed: int = 42, **kw) -> Da
     return out.orderBy("doc_type", kw.get("id", "id"))
 
 
-def top_values(df: DataFrame, column: str, k: int = 20) -> DataFrame:
-    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+def top_values(df: DataFrame, column: str, k: int = 20, pos: str | None = None) -> DataFrame:
+    """The k most frequent values; ties go to the one met first by `pos`, or without it to the smaller value."""
+    first = F.min(pos) if pos else F.lit(0)
+    return df.groupBy(column).agg(F.count("*").alias("n"), first.alias("_p")).orderBy(F.desc("n"), "_p", column).limit(k).drop("_p")
+
+
+def seed_stats(df: DataFrame, keyword: str = "primary_keyword", k: int = 20, pos: str = "pos") -> dict[str, DataFrame]:
+    """Counts by document type, length bucket and language, the most frequent keywords by type, and lengths by type."""
+    n = F.count("*").alias("n")
+    kinds = {t: top_values(df.where(F.col("doc_type") == t), keyword, k, pos) for t in ("cv", "jd")}
+    return {
+        "by_type": df.groupBy("doc_type").agg(n), "by_bucket": df.groupBy("doc_type", "length_bucket").agg(n), "keywords_cv": kinds["cv"], "keywords_jd": kinds["jd"],
+        "lengths": df.groupBy("doc_type").agg(F.min("text_length").alias("least"), F.max("text_length").alias("most"), F.avg("text_length").alias("mean")),
+    }
+
+
+def looks_like_it(df: DataFrame, strict: bool = False, keyword: str = "primary_keyword", position: str = "position", text: str = "text") -> Column:
+    """is_it of the cleaned text, for raw rows."""
+    return is_it(F.col(keyword), F.col(position), tx.clean_text(tx.stringify(text)), strict)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,32 +11,39 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 
+_GAP, _SOLID = re.compile("[ \n]"), re.compile(r"\S+")
 SPAN = "array<struct<label:string,text:string,start:int,end:int,normalized:string>>"
 
 
 def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of the chunks. A chunk ends behind the last blank, line end or sentence end in its second half;
-    both ends are stripped; the next one starts `overlap` before the end, or one further on."""
+    """(start, end) of the chunks, from the positions of the text's signs and of its blanks and line ends.
+
+    A chunk reaches `size` characters on, or up to behind the last blank or line end in the second half of that; what
+    isn't white space within bounds it. The next chunk begins `overlap` before that bound, but further on than the last.
+    """
     if size <= 0 or overlap < 0:
         raise ValueError("the chunk size must be positive and the overlap not negative")
     n = len(text)
     if n <= size:
         return [(0, n)]
-    out, at = [], 0
-    while at < n:
-        stop = min(at + size, n)
-        if stop < n:
-            # a sentence end (". ") lies before its blank and an empty line before its second line end
-            cut = max(text.rfind(" ", at + size // 2, stop), text.rfind("\n", at + size // 2, stop))
-            stop = cut + 1 if cut > at else stop
-        piece = text[at:stop]
-        a, b = at + len(piece) - len(piece.lstrip()), stop - (len(piece) - len(piece.rstrip()))
-        if b <= a:
-            a, b = at, stop
-        out.append((a, b))
-        if b >= n:
-            break
-        at = max(b - overlap, at + 1)
+    gaps = [m.start() for m in _GAP.finditer(text)]
+    words = [m.span() for m in _SOLID.finditer(text)]
+    firsts, lasts = [a for a, _ in words], [b for _, b in words]
+
+    def solid(lo: int, hi: int) -> tuple[int, int]:
+        i, j = bisect_right(lasts, lo), bisect_left(firsts, hi) - 1
+        return (max(lo, firsts[i]), min(hi, lasts[j])) if i <= j else (lo, hi)
+
+    out: list[tuple[int, int]] = []
+    begin = 0
+    while begin < n and (not out or out[-1][1] < n):
+        reach = begin + size
+        if reach < n:
+            last = bisect_left(gaps, reach) - 1
+            if last >= 0 and gaps[last] >= max(begin + 1, begin + size // 2):
+                reach = gaps[last] + 1
+        out.append(solid(begin, min(reach, n)))
+        begin = max(out[-1][1] - overlap, begin + 1)
     return out
 
 

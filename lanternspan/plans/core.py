@@ -9,6 +9,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import annotate as an
 from ..operators import features as ft
+from ..sources.readers import read_parquet
 from ..operators import ingest, link, metrics, refine, seed, spans, taxonomy, weak
 
 #: Terms that occur in the test texts, by label.
@@ -22,7 +23,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return read_parquet(spark, f"{d}/documents.parquet")
 
 
 def clean_text_metrics(spark, d):

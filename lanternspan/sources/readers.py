@@ -12,6 +12,12 @@ from ..functions import lexicon as lx
 from ..operators.taxonomy import ENTRY
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A table with a partition or more for each core: small files with few row groups would leave most cores idle."""
+    d, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return d.repartition(2 * cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header, all columns text, quoted line breaks kept."""
     return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
