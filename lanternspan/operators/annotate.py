@@ -155,10 +155,32 @@ def annotate(records: DataFrame, annotator: Callable[[list[str]], Iterator[str]]
     return merge_answers(records, m, answers)
 
 
+def with_model(requests: DataFrame, model: str, request: str = "request") -> DataFrame:
+    """Requests with body.model set, and changed, whether it was another. A request whose body isn't an object is an error
+    when it is met. The body is taken apart and put together as JSON, so texts that look like a model stay."""
+    v = F.try_parse_json(request)
+    body = F.try_variant_get(v, "$.body", "map<string,variant>")
+    head = F.try_variant_get(v, "$", "map<string,variant>")
+    sound = F.when(body.isNotNull(), True).otherwise(F.raise_error(F.lit("a request has no body object")).cast("boolean"))
+    other = sound & ~F.coalesce(F.try_variant_get(v, "$.body.model", "string") == model, F.lit(False))
+    put = lambda m, k, x: F.map_concat(F.map_filter(m, lambda q, _: q != k), F.create_map(F.lit(k), x))
+    new = put(head, "body", F.parse_json(F.to_json(put(body, "model", F.parse_json(F.to_json(F.lit(model).cast("variant")))))))
+    d = requests.withColumn("changed", other)
+    return d.withColumn(request, F.when(F.col("changed"), F.to_json(new)).otherwise(F.col(request)))
+
+
 def retarget(records: DataFrame, requests: DataFrame, shards: DataFrame, submitted: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
-    """Records and requests with another model where their shard isn't submitted yet. shards: (record_id, shard_id)."""
+    """(records, requests) with another model, and changed, where their shard isn't submitted yet. shards: (record_id, shard_id)."""
     open_ids = shards.join(submitted.select("shard_id").distinct(), "shard_id", "left_anti").select("record_id").distinct().withColumn("_open", F.lit(True))
-    rec = records.join(open_ids, "record_id", "left").withColumn("model", F.when(F.col("_open"), F.lit(model)).otherwise(F.col("model"))).drop("_open")
+    rec = records.join(open_ids, "record_id", "left").withColumn("changed", F.coalesce(F.col("_open") & ~F.col("model").eqNullSafe(F.lit(model)), F.lit(False)))
+    rec = rec.withColumn("model", F.when(F.col("changed"), F.lit(model)).otherwise(F.col("model"))).drop("_open")
     req = requests.join(open_ids, "record_id", "left")
-    swapped = F.regexp_replace("request", r'("model":)"[^"]*"', f'$1"{model}"')
-    return rec, req.withColumn("request", F.when(F.col("_open"), swapped).otherwise(F.col("request"))).drop("_open")
+    done = with_model(req.where("_open"), model).drop("_open")
+    return rec, done.unionByName(req.where("_open is null").drop("_open").withColumn("changed", F.lit(False)))
+
+
+def record_rows(prepared: DataFrame, records: DataFrame, model: str, size: int = 12000, overlap: int = 200) -> DataFrame:
+    """A row for each record of a batch: id, type, text, how it was cut, its chunks' custom ids in order, and where it came from."""
+    ids = prepared.groupBy("record_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "custom_id"))), lambda x: x["custom_id"]).alias("custom_ids"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("requests"))
+    more = [c for c in ("source_column", "source_row", "source_path", "source_id") if c in records.columns]
+    return records.select("record_id", "document_type", "text", *more).join(ids, "record_id").withColumns({"model": F.lit(model), "chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap), "text_length": F.length("text")})

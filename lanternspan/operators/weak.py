@@ -57,5 +57,12 @@ def combined_rows(df: DataFrame, spans: DataFrame, id: str = "record_id") -> Dat
     return df.join(g, id, "left").select(F.col(id).alias("record_id"), F.col("doc_type").alias("document_type"), "text", "entities")
 
 
+def stats(df: DataFrame, spans: DataFrame, id: str = "record_id", doc_type: str = "doc_type") -> DataFrame:
+    """(doc_type, documents, documents_with_entities, spans), doc_type null for all together."""
+    n = spans.groupBy(id).agg(F.count("*").alias("_n"))
+    d = df.withColumn(doc_type, F.coalesce(doc_type, F.lit("unknown"))).join(n, id, "left").rollup(doc_type).agg(F.count("*").alias("documents"), F.count("_n").alias("documents_with_entities"), F.coalesce(F.sum("_n"), F.lit(0)).alias("spans"), F.grouping(doc_type).alias("_g"))
+    return d.select(F.when(F.col("_g") == 1, "all").otherwise(F.col(doc_type)).alias("doc_type"), "documents", "documents_with_entities", "spans")
+
+
 def label_counts(spans: DataFrame) -> DataFrame:
     return spans.groupBy("label").agg(F.count("*").alias("spans"))

@@ -160,7 +160,7 @@ def doc_types(spark, d):
 
 def shard_totals(spark, d):
     x = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("pos"), F.octet_length("text").cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("requests"), tx.estimated_tokens(F.col("text")).alias("tokens"))
-    return an.shard_totals(an.pack_shards(x, limits=(4_000_000, 900, 700_000), bucket=10_000_000))
+    return an.shard_totals(an.pack_shards(x, limits=(4_000_000, 900, 700_000)))
 
 
 def descriptor_pivot(spark, d):
@@ -179,7 +179,7 @@ def _mentions(spark, d):
 
 
 def token_block(spark, d):
-    return link.candidates(_mentions(spark, d), table(spark, d, "onet_entries"), 5).select("label", "text", "entry_id", F.round("block_score", 6).alias("block_score"))
+    return link.candidates(_mentions(spark, d), table(spark, d, "onet_entries")).select("label", "text", "entry_id", F.round("block_score", 6).alias("block_score"))
 
 
 def entity_links(spark, d):
@@ -284,7 +284,7 @@ def revenue_by_nation(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
     g = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey").agg(F.round(F.sum("r"), 2).alias("revenue"), F.count("*").alias("n"))
-    return g.join(F.broadcast(table(spark, d, "nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "revenue", "n")
+    return g.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "revenue", "n")
 
 
 QUERIES = {
@@ -345,7 +345,57 @@ _LATEST = """(SELECT annotation_id, arg_max({'r': record_id, 'l': label, 't': te
 _PRED = "(SELECT coalesce(label, 'O') AS gold, text, CASE WHEN regexp_matches(text, '[0-9]') THEN 'TECHNOLOGY' WHEN regexp_matches(text, '[A-Z]{3}') THEN 'JOB_ROLE' WHEN contains(text, ' ') THEN 'SKILL' ELSE 'O' END AS pred FROM span_annotations)"
 _RATES = "round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall, round(2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1), 1e-8), 6) AS f1"
 
+_PREFIXES = "(?i)^(?:(?:" + "|".join(tx.literal(p).replace("'", "''") for p in sorted(lx.NOISY_PREFIXES, key=len, reverse=True)) + ")" + _S + "*)+"
+_COLLAPSE = lambda x: f"trim(regexp_replace(lower({x}), '{_S}+', ' ', 'g'))"
+_TOKENS = lambda x: f"list_distinct(list_filter(regexp_extract_all({x}, '[a-z0-9][a-z0-9.+#/\\-]*'), lambda t: t NOT IN ({_IN(sorted(lx.STOPWORDS))}) AND (length(t) > 1 OR t IN ({_IN(sorted(lx.SHORT_KEEP_TOKENS))}))))"
+_NORM = lambda x: f"replace({x}, '’', chr(39))"
+_GRAMS = lambda x: f"CASE WHEN {x} = '' THEN []::varchar[] ELSE list_distinct(list_transform(generate_series(1, greatest(length({x}) - 2, 1)), lambda i: substr({x}, i, 3))) END"
+#: A record's first text, and the latest form of each annotation with its place.
+_FIRST_DOC = f"(SELECT {_COLLAPSE('record_id')} AS r, arg_min(text, doc_id) AS doc, arg_min(doc_type, doc_id) AS kind FROM documents WHERE record_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)"
+#: Start of a span (a, b) with the text t in doc: as given, or the nearest occurrence.
+_REPAIRED = """CASE WHEN t = '' THEN NULL WHEN a >= 0 AND a <= b AND b <= length(doc) AND substr(doc, a + 1, b - a) = t THEN a WHEN NOT contains(doc, t) THEN NULL
+    ELSE list_min(list_transform(generate_series(1, len(string_split(doc, t)) - 1), lambda i: {'d': abs(coalesce(list_sum(list_transform(string_split(doc, t)[1:i], lambda x: length(x))), 0) + (i - 1) * length(t) - coalesce(a, 0)), 'p': coalesce(list_sum(list_transform(string_split(doc, t)[1:i], lambda x: length(x))), 0) + (i - 1) * length(t)})).p END"""
+_LABEL_KEY = lambda x: f"regexp_replace(regexp_replace(upper({_strip(x)}), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_ALIAS = lambda x: f"coalesce(map([{_IN(lx.ENTITY_LABEL_ALIASES)}], [{_IN(lx.ENTITY_LABEL_ALIASES.values())}])[{x}], {x})"
+_ANSWERS = r"""o AS (SELECT custom_id, arg_max({'s': status_code, 'c': content}, {'a': received_at, 'c': content}) AS o FROM batch_outputs WHERE custom_id IS NOT NULL GROUP BY 1),
+        p AS (SELECT custom_id, o.s AS s, regexp_replace(regexp_replace(trim(coalesce(o.c, ''), E' \t\r\n'), '^```(?:json)?\s*', ''), '\s*```$', '') AS raw FROM o),
+        ans AS (SELECT custom_id, CASE WHEN s <> 200 THEN 'status ' || s WHEN s IS NULL THEN 'status missing' WHEN raw = '' THEN 'empty content' WHEN NOT (json_valid(raw) AND starts_with(raw, '{')) THEN 'content is not a JSON object' END AS err, CASE WHEN json_valid(raw) AND starts_with(raw, '{') THEN raw END AS js FROM p)"""
+
 SQL = {
+    "token_block": f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"({_q(k)}, {_q(t)})" for k, ts in lx.LABEL_TARGET_TYPES.items() for t in ts)}) AS v(label, entry_type)),
+        m AS (SELECT DISTINCT upper(s.l) AS label, s.t AS text FROM {_LATEST}), mm AS (SELECT label, text, {_TOKENS(_COLLAPSE(_NORM('text')))} AS ts, replace({_COLLAPSE(_NORM('text'))}, ' ', '') AS g FROM m),
+        e AS (SELECT entry_id, entry_type, {_COLLAPSE(_NORM("concat_ws(' ', title, array_to_string(coalesce(aliases, []), ' '))"))} AS x FROM onet_entries),
+        ee AS (SELECT entry_id, entry_type, {_TOKENS('x')} AS ts, replace(x, ' ', '') AS g FROM e),
+        tk AS (SELECT label, text, entry_id, len(list_intersect(mm.ts, ee.ts)) AS n_both, len(mm.ts) + len(ee.ts) AS total FROM mm JOIN t USING (label) JOIN ee USING (entry_type) WHERE list_has_any(mm.ts, ee.ts)),
+        r AS (SELECT * FROM mm WHERE (label, text) NOT IN (SELECT (label, text) FROM tk)),
+        rg AS (SELECT label, text, {_GRAMS('g')} AS gs FROM r), eg AS (SELECT entry_id, entry_type, {_GRAMS('g')} AS gs FROM ee),
+        tg AS (SELECT label, text, entry_id, len(list_intersect(rg.gs, eg.gs)) AS n_both, len(rg.gs) + len(eg.gs) AS total FROM rg JOIN t USING (label) JOIN eg USING (entry_type) WHERE list_has_any(rg.gs, eg.gs)),
+        u AS (SELECT *, n_both / greatest(total - n_both, 1) AS score FROM (SELECT * FROM tk UNION ALL SELECT * FROM tg)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY label, text ORDER BY score DESC, entry_id) AS n FROM u)
+        SELECT label, text, entry_id, round(score, 6) AS block_score FROM k WHERE n <= 256""",
+    "offset_repair": f"""WITH d AS {_FIRST_DOC}, s AS (SELECT annotation_id, arg_max({{'r': record_id, 't': text, 'a': span_start, 'b': span_end}}, {{'x': annotated_at, 't': text, 'a': span_start, 'r': record_id}}) AS s FROM span_annotations WHERE record_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+        j AS (SELECT annotation_id, s.t AS t, s.a AS a, s.b AS b, doc FROM s JOIN d ON d.r = {_COLLAPSE('s.r')})
+        SELECT annotation_id, cast({_REPAIRED} AS bigint) AS start FROM j""",
+    "shard_totals": """WITH RECURSIVE x AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, strlen(text) AS b, greatest(1, (strlen(text) + 3) // 4) AS t FROM documents WHERE text IS NOT NULL),
+        f(i, shard, b, n, t) AS (SELECT 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint UNION ALL
+            SELECT x.i, CASE WHEN full_ THEN shard + 1 ELSE shard END, CASE WHEN full_ THEN x.b ELSE f.b + x.b END, CASE WHEN full_ THEN 1 ELSE f.n + 1 END, CASE WHEN full_ THEN x.t ELSE f.t + x.t END
+            FROM (SELECT *, i + 1 AS next FROM f) f JOIN x ON x.i = f.next, LATERAL (SELECT f.n > 0 AND (f.b + x.b > 4000000 OR f.n + 1 > 900 OR f.t + x.t > 700000) AS full_) c)
+        SELECT shard AS shard_id, count(*) AS records, count(*)::bigint AS requests, sum(x.b)::bigint AS bytes, sum(x.t)::bigint AS tokens FROM f JOIN x USING (i) GROUP BY 1""",
+    "batch_finalize": f"""WITH d AS {_FIRST_DOC}, {_ANSWERS},
+        c AS (SELECT custom_id, arg_max({{'f': feature_id, 'i': chunk_index, 's': chunk_start, 't': text}}, {{'a': ingested_at, 't': text}}) AS c FROM chunk_records WHERE custom_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+        m AS (SELECT custom_id, lower(split_part(c.f, '::chunk-', 1)) AS r, c.i AS i, c.s AS s, c.t AS doc, CASE WHEN ans.custom_id IS NULL THEN 'no answer for the chunk' ELSE err END AS err, CASE WHEN err IS NULL THEN js END AS js FROM c LEFT JOIN ans USING (custom_id)),
+        bad AS (SELECT r, arg_min(err, {{'i': i, 'c': custom_id, 'e': err}}) AS err FROM m WHERE err IS NOT NULL GROUP BY 1),
+        lg AS (SELECT r, i, lower({_strip("coalesce(json_extract_string(js, '$.document_language'), '')")}) AS l, coalesce(json_extract_string(js, '$.is_it_document') = 'true', false) AS it FROM m WHERE err IS NULL),
+        ln AS (SELECT r, i, it, CASE WHEN l = '' THEN 'unknown' WHEN starts_with(l, 'en') THEN 'en' ELSE l END AS l FROM lg),
+        lo AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i, l) AS p FROM ln),
+        lv AS (SELECT r, l, count(*) AS n, min(p) AS p FROM lo WHERE l <> 'unknown' GROUP BY 1, 2), lb AS (SELECT r, arg_max(l, {{'n': n, 'p': -p}}) AS l FROM lv GROUP BY 1),
+        it AS (SELECT r, bool_or(it) AS it FROM ln GROUP BY 1),
+        en AS (SELECT r, s, doc, unnest(from_json(json_extract(js, '$.entities'), '["json"]')) AS e FROM m WHERE err IS NULL),
+        ef AS (SELECT r, s, doc, {_LABEL_KEY("coalesce(json_extract_string(e, '$.label'), '')")} AS k, {_strip("coalesce(json_extract_string(e, '$.text'), '')")} AS t, cast(floor(try_cast(json_extract_string(e, '$.start') AS double)) AS bigint) AS a, cast(floor(try_cast(json_extract_string(e, '$.end') AS double)) AS bigint) AS b FROM en),
+        er AS (SELECT r, {_ALIAS('k')} AS k, t, s + {_REPAIRED} AS a FROM ef),
+        ec AS (SELECT r, count(DISTINCT {{'k': k, 'a': a, 't': t}}) AS n FROM er WHERE k IN ({_IN(lx.ENTITY_LABELS)}) AND a IS NOT NULL GROUP BY 1)
+        SELECT d.r AS record_id, CASE WHEN ok THEN coalesce(lb.l, 'unknown') ELSE '' END AS document_language, ok AND it.it AS is_it_document, CASE WHEN ok THEN coalesce(ec.n, 0) ELSE 0 END AS entities, CASE WHEN ok THEN '' ELSE coalesce(bad.err, 'no chunks for the record') END AS error
+        FROM (SELECT d.*, (SELECT count(*) FROM m WHERE m.r = d.r) > 0 AND d.r NOT IN (SELECT r FROM bad) AS ok FROM d WHERE d.r <> '') d LEFT JOIN bad ON bad.r = d.r LEFT JOIN lb ON lb.r = d.r LEFT JOIN it ON it.r = d.r LEFT JOIN ec ON ec.r = d.r""",
     "clean_text_metrics": f"WITH {_DEFS} SELECT doc_id, text_length, word_count, CASE WHEN doc_type = 'cv' THEN CASE WHEN length(t) < 400 THEN 'short' WHEN length(t) < 900 THEN 'medium' WHEN length(t) < 1800 THEN 'long' ELSE 'xlong' END ELSE CASE WHEN length(t) < 1000 THEN 'short' WHEN length(t) < 1800 THEN 'medium' WHEN length(t) < 3000 THEN 'long' ELSE 'xlong' END END AS length_bucket, md5(t) AS digest FROM z",
     "drop_reason_counts": f"WITH {_DEFS} SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n FROM z GROUP BY 1",
     "exact_dedupe": f"WITH {_DEFS} SELECT doc_id, doc_type, text_length, word_count, pk || '::' || length_bucket AS seed_group FROM z WHERE drop_reason IS NULL",
@@ -372,10 +422,13 @@ SQL = {
     "span_chunk_assign": f"""WITH s AS (SELECT DISTINCT ON (annotation_id) annotation_id, trim(regexp_replace(lower(record_id), '{_S}+', ' ', 'g')) AS r, span_start AS a, span_end AS b FROM span_annotations WHERE record_id IS NOT NULL),
         c AS (SELECT lower(split_part(feature_id, '::chunk-', 1)) AS r, min(chunk_index) AS i, arg_min(chunk_start, (chunk_index, chunk_start, length(text))) AS x, arg_min(chunk_start + length(text), (chunk_index, chunk_start, length(text))) AS y FROM chunk_records WHERE NOT contains(feature_id, '::sub-') AND text IS NOT NULL GROUP BY feature_id)
         SELECT annotation_id, cast(min(i) AS bigint) AS chunk_index FROM s LEFT JOIN c ON s.r = c.r AND a >= x AND b <= y GROUP BY 1""",
-    "refine_spans": r"""WITH s AS (SELECT label, text, normalized, regexp_extract(text, '(?i)^(?:(?:very good |strong |good )\s*)+') AS p FROM span_annotations WHERE label IN ('SKILL', 'INDUSTRY', 'TECHNOLOGY') AND text IS NOT NULL),
-        t AS (SELECT label, p <> '' AS trimmed, trim(regexp_replace(lower(coalesce(nullif(CASE WHEN p <> '' AND coalesce(normalized, '') <> '' THEN substr(text, length(p) + 1) ELSE normalized END, ''), substr(text, length(p) + 1))), '\s+', ' ', 'g')) AS n FROM s)
-        SELECT label, count(*) AS n, cast(sum(trimmed::int) AS bigint) AS trimmed FROM t WHERE NOT CASE WHEN n = '' THEN false WHEN label = 'SKILL' THEN n IN (@non_skill) OR n IN (@levels) OR starts_with(n, 'english level') OR starts_with(n, 'level of english') OR (contains(n, 'english') AND regexp_matches(n, '@near')) OR regexp_matches(n, '@noskill')
-            WHEN label = 'INDUSTRY' THEN n IN (@non_industry) ELSE false END GROUP BY 1""".replace("@non_skill", _IN(lx.NON_SKILL_TERMS)).replace("@levels", _IN(lx.ENGLISH_LEVEL_TERMS)).replace("@near", "|".join(tx.literal(t) for t in (*lx.ENGLISH_LEVEL_TERMS, *lx.ENGLISH_LEVEL_CONTEXT_TERMS)).replace("'", "''")).replace("@noskill", "|".join(lx.NON_SKILL_PATTERNS)).replace("@non_industry", _IN(lx.NON_INDUSTRY_TERMS)),
+    "refine_spans": rf"""WITH s AS (SELECT upper({_strip("coalesce(label, '')")}) AS lab, label, text, normalized, CASE WHEN span_start IS NULL THEN '' ELSE regexp_extract(text, '{_PREFIXES}') END AS p FROM span_annotations WHERE text IS NOT NULL),
+        t AS (SELECT *, p <> '' AS trimmed, CASE WHEN p <> '' THEN substr(text, length(p) + 1) ELSE text END AS x FROM s),
+        n AS (SELECT *, CASE WHEN trimmed AND coalesce(normalized, '') <> '' THEN trim(regexp_replace(lower(x), '{_S}+', ' ', 'g')) ELSE normalized END AS y FROM t),
+        k AS (SELECT *, trim(regexp_replace(lower(coalesce(nullif(y, ''), {_strip('x')})), '{_S}+', ' ', 'g')) AS n FROM n)
+        SELECT label, count(*) AS n, cast(sum(trimmed::int) AS bigint) AS trimmed FROM k WHERE NOT CASE WHEN lab = '' OR n = '' THEN false WHEN lab = 'ABILITY' THEN true
+            WHEN lab = 'SKILL' THEN n IN ({_IN(lx.NON_SKILL_TERMS)}) OR n IN ({_IN(lx.ENGLISH_LEVEL_TERMS)}) OR starts_with(n, 'english level') OR starts_with(n, 'level of english') OR (contains(n, 'english') AND {_HAS('n', sorted(set(lx.ENGLISH_LEVEL_TERMS) | set(lx.ENGLISH_LEVEL_CONTEXT_TERMS)))}) OR regexp_matches(n, {_q("|".join(f"(?:{p})" for p in lx.NON_SKILL_PATTERNS))})
+            WHEN lab = 'INDUSTRY' THEN n IN ({_IN(lx.NON_INDUSTRY_TERMS)}) WHEN lab = 'PROJECT_TYPE' THEN n IN ({_IN(lx.GENERIC_PROJECT_TYPE_TERMS)}) ELSE false END GROUP BY 1""",
     "chunk_ids": "SELECT DISTINCT record_id, chunk_index, chunk_start, 'chunk-' || substr(sha1(record_id || '|' || chunk_index || '|' || chunk_start), 1, 16) AS chunk_id FROM chunk_records WHERE record_id IS NOT NULL",
     "record_ids": f"SELECT doc_id, CASE WHEN {_strip("coalesce(company_name, '')")} <> '' THEN {_strip('company_name')} || ':text' ELSE 'row-' || doc_id || ':text:' || substr(sha1(text), 1, 12) END AS stable_id FROM documents WHERE text IS NOT NULL",
     "resume_antijoin": f"SELECT DISTINCT trim(regexp_replace(lower(record_id), '{_S}+', ' ', 'g')) AS record_id FROM documents d WHERE record_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunk_records c WHERE lower(split_part(c.feature_id, '::chunk-', 1)) = trim(regexp_replace(lower(d.record_id), '{_S}+', ' ', 'g')))",
@@ -387,8 +440,7 @@ SQL = {
     "trigrams": f"WITH t AS (SELECT entry_id, regexp_replace(replace(lower(title), '’', ''''), '{_S}+', '', 'g') AS x FROM onet_entries WHERE title IS NOT NULL) SELECT DISTINCT entry_id, substr(x, i, 3) AS gram FROM t, unnest(generate_series(1, greatest(length(x) - 2, 1))) AS g(i) WHERE x <> ''",
     "semantic_top": "WITH e AS (SELECT vec_id, embedding::double[] AS v, sqrt(list_dot_product(embedding::double[], embedding::double[])) AS n FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v) / (q.n * e.n), 6) AS score FROM e JOIN e q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) SELECT query_id, arg_max(vec_id, (score, -vec_id)) AS vec_id, max(score) AS score FROM s GROUP BY 1",
     "stratified_split": "WITH g AS (SELECT cast(doc_id AS varchar) AS doc_id, CASE WHEN doc_type IN ('cv', 'jd') THEN doc_type ELSE 'other' END AS k FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM g), c AS (SELECT *, greatest(1, floor(n * 0.8)) AS a, greatest(1, floor(n * 0.1)) AS b FROM n) SELECT doc_id, CASE WHEN n <= 2 THEN CASE WHEN r = 1 THEN 'train' ELSE 'dev' END WHEN r <= CASE WHEN a + b >= n THEN greatest(1, n - 2) ELSE a END THEN 'train' WHEN r <= CASE WHEN a + b >= n THEN greatest(1, n - 2) + 1 ELSE a + b END THEN 'dev' ELSE 'test' END AS split FROM c",
-    "candidate_ngrams": r"WITH t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda w: w <> '')) AS n FROM documents), s AS (SELECT doc_id, i, least(i + 3, n - 1) - i + 1 AS k FROM t, unnest(generate_series(0, n - 1)) AS g(i) WHERE n <= 400) SELECT doc_id, cast(sum(k) AS bigint) AS spans, cast(sum(k * (k + 1) // 2) AS bigint) AS width FROM s GROUP BY 1",
-    "negative_sample": "WITH t AS (SELECT feature_id, max(length(text)) % 90 AS n FROM chunk_records WHERE text IS NOT NULL GROUP BY 1), c AS (SELECT feature_id, i AS a, j AS b, CASE WHEN i % 7 = 0 AND j = i + 1 THEN 1 ELSE 0 END AS lab FROM t, unnest(generate_series(0, n - 1)) AS g(i), unnest(generate_series(i, least(i + 2, n - 1))) AS h(j)), r AS (SELECT *, sum(lab) OVER (PARTITION BY feature_id) AS p, row_number() OVER (PARTITION BY feature_id, lab = 0 ORDER BY md5(feature_id || '|' || a || '|' || b || '|42'), a, b) AS r FROM c) SELECT feature_id, count(*) AS n, cast(sum(lab) AS bigint) AS labelled, cast(sum(a) AS bigint) AS starts FROM r WHERE lab = 1 OR r <= CASE WHEN p > 0 THEN greatest(8, p * 2) ELSE 8 END GROUP BY 1",
+    "candidate_ngrams": r"WITH t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda w: w <> '')) AS n FROM documents), s AS (SELECT doc_id, i, least(i + 3, n - 1) - i + 1 AS k FROM t, unnest(generate_series(0, n - 1)) AS g(i)) SELECT doc_id, cast(sum(k) AS bigint) AS spans, cast(sum(k * (k + 1) // 2) AS bigint) AS width FROM s GROUP BY 1",
     "label_vocabulary": "SELECT label, row_number() OVER (ORDER BY label) AS label_id FROM (SELECT DISTINCT label FROM span_annotations WHERE label IS NOT NULL) UNION ALL SELECT 'O', 0",
     "prf_metrics": f"WITH p AS {_PRED}, k AS (SELECT gold AS label, 'tp' AS k FROM p WHERE gold = pred UNION ALL SELECT pred, 'fp' FROM p WHERE gold <> pred UNION ALL SELECT gold, 'fn' FROM p WHERE gold <> pred), c AS (SELECT coalesce(label, 'all') AS label, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn FROM k WHERE label <> 'O' GROUP BY ROLLUP (label)) SELECT label, tp, fp, fn, {_RATES} FROM c",
     "confusion": f"WITH p AS {_PRED} SELECT gold, pred, count(*) AS n FROM p WHERE gold <> pred GROUP BY 1, 2",
