@@ -26,7 +26,7 @@ FLUSH = 2_000_000
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Documents of which a bucket holds the anchors: bytes of text, at least and at most; between them as many buckets as
 #: tasks can address in frames of some length.
-LEAST_BUCKET, MOST_BUCKET, FRAMES = 4_000_000, 64_000_000, 20_000
+LEAST_BUCKET, MOST_BUCKET, FRAMES = 1_000_000, 64_000_000, 20_000
 #: Bits of the filter over documents, at most (64 MB); a full filter lets texts through, which the join then drops.
 MAX_FILTER_BITS = 1 << 29
 
@@ -237,7 +237,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     base = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("t")).where((F.length("t") >= length) & F.col("doc").isNotNull())
     size = text_bytes(docs, text)
     buckets = max(16, -(-size // min(MOST_BUCKET, max(LEAST_BUCKET, size // FRAMES))))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // 8_000_000))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // 2_000_000, 2000 + size // 32_000_000))
 
     def anchors(batches):
         sender, powers, other = _Sender(buckets, True), _Powers(), _Powers(_BASE2)
@@ -293,6 +293,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     met = "doc bigint, pos binary, state binary"
     found = base.mapInArrow(anchors, _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_receiver(True), met)
     by_doc = Scratch(docs.sparkSession, "sharedspans").table(found.groupBy("doc").agg(F.collect_list(F.struct("pos", "state")).alias("found")))
+    del found
+    docs.sparkSession.sparkContext._jvm.System.gc()  # so that Spark's cleaner takes the anchors off the disks before more is sent
     asked = _likely(base, by_doc, size).join(by_doc, "doc").select("doc", "t", "found")
     marks = asked.mapInArrow(stretches, _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_receiver(False), met)
     return marks.groupBy("doc").agg(F.collect_list("pos").alias("found")).mapInArrow(regions, "doc_id bigint, span_start bigint, span_end bigint")
