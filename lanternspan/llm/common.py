@@ -136,8 +136,9 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
-    """Bytes of a column: Catalyst's estimate where it knows the files, else (a petabyte or more is a guess) a pass over it."""
-    n = table_bytes(df.select(column))
+    """About the bytes of a table whose texts make up most of it: Catalyst's estimate of all its files (for one column it
+    would take a string for 20 bytes), else (a petabyte or more is a guess) a pass over the column."""
+    n = table_bytes(df)
     return n if n < 1 << 50 else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 

@@ -71,3 +71,30 @@ SQL = {
         SELECT doc_id, min(s) AS span_start, max(s) + 300 AS span_end FROM r GROUP BY doc_id, r
     """,
 }
+
+#: Pairs of near documents, as p4_found has them, for the groups over them.
+_PAIRS = SQL["p4_found"].strip()
+SQL["p4_groups"] = rf"""
+    WITH RECURSIVE pairs AS ({_PAIRS}),
+    t AS (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS w FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS class_id FROM t WHERE len(w) >= 40),
+    e AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM pairs JOIN k a ON a.doc_id = doc_a JOIN k b ON b.doc_id = doc_b WHERE a.class_id <> b.class_id),
+    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+    g AS (SELECT a, least(a, min(b)) AS g FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+    SELECT doc_id, coalesce(g.g, class_id) AS group_id, class_id, coalesce(n.n, 0) AS links FROM k LEFT JOIN g ON g.a = class_id LEFT JOIN n ON n.a = class_id
+"""
+SQL["p9_leaks"] = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(lower(text), '{_W}') AS w FROM eval_items WHERE text IS NOT NULL),
+    dw AS (SELECT doc_id, k AS j, array_to_string(w[k:k + 19], ' ') AS s FROM d, unnest(generate_series(1, len(w) - 19)) AS g(k)),
+    iw AS (SELECT item_id, k AS i, array_to_string(w[k:k + 19], ' ') AS s FROM i, unnest(generate_series(1, len(w) - 19)) AS g(k)),
+    m AS (SELECT item_id, doc_id, i, j, s, i - row_number() OVER (PARTITION BY item_id, doc_id, j - i ORDER BY i) AS island FROM iw JOIN dw USING (s)),
+    l AS (SELECT item_id, doc_id, max(n) + 19 AS longest_run FROM (SELECT item_id, doc_id, count(*) AS n FROM m GROUP BY item_id, doc_id, j - i, island) GROUP BY 1, 2)
+    SELECT item_id, doc_id, count(DISTINCT s) AS shared_windows, any_value(item_windows) AS item_windows, any_value(longest_run) AS longest_run
+    FROM m JOIN l USING (item_id, doc_id) JOIN (SELECT item_id, count(DISTINCT s) AS item_windows FROM iw GROUP BY 1) USING (item_id) GROUP BY 1, 2
+"""
+SQL["p10_shared"] = f"""
+    WITH f AS ({SQL["p10_found"]}), s AS (SELECT doc_id, sum(span_end - span_start)::bigint AS n FROM f GROUP BY 1)
+    SELECT d.doc_id, coalesce(length(text), 0)::bigint AS n_chars, coalesce(s.n, 0) AS shared_chars, coalesce(round(s.n / length(text), 6), 0.0) AS share FROM documents d LEFT JOIN s USING (doc_id)
+"""
