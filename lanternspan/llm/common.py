@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +23,16 @@ BATCH_CHARS = 1_500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of this machine only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a temporary folder serves a local session (tests); on a
+    cluster each executor would write to a disk of its own, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(scratch_dir, "local", None):
         scratch_dir.local = tempfile.mkdtemp(prefix="lanternspan-")
+        atexit.register(shutil.rmtree, scratch_dir.local, ignore_errors=True)
     return f"file://{scratch_dir.local}"
 
 

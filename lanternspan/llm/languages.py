@@ -225,9 +225,10 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
                 ws = [words(t[a:b]) for a, b in us]
                 n = [(a, b, prose_tokens(t[a:b], m, w)) for (a, b), w in zip(us, ws)]
                 lean = np.zeros(len(LANGS), np.float32)
-                for suffix in _SUFFIX.findall(t)[:4] if "@" in t or "www." in t else ():
+                for suffix in _SUFFIX.findall(t) if "@" in t or "www." in t else ():
                     if suffix in SUFFIXES:
                         lean[LANGS.index(SUFFIXES[suffix])] += 0.3
+                lean = np.minimum(lean, 1.2)  # every address counts, though many tell little more than a few
                 out.append([doc, lab, h, 0, np.array(n, np.int32).tobytes(), (len(lists), len(lists) + len(us), lean)])
                 lists += ws
             scores = m.score(lists)

@@ -86,18 +86,20 @@ def feature_groups(features: DataFrame, documents: DataFrame, scratch: Scratch)
     return f.join(groups, "record", "left").withColumn("n_records", F.coalesce("n_records", F.lit(1).cast("bigint")))
 
 
-def split_features(features: DataFrame, documents: DataFrame, names=("train", "dev", "test"), ratios=(0.8, 0.1, 0.1), seed: int = 42, salts: int = 64) -> DataFrame:
+def split_features(features: DataFrame, documents: DataFrame, names=("train", "dev", "test"), ratios=(0.8, 0.1, 0.1), seed: int = 42, salt_groups: int = 200_000) -> DataFrame:
     """(feature_id, record, group_key, split): every feature once, all features of a group in one split.
 
-    Groups of one size are interchangeable: they are ranked by a seeded hash, in `salts` parts whose offsets come
-    from counts, so that the many groups of size 1 never meet in one task. Empty input gives no rows; a null
+    Groups of one size are interchangeable: they are ranked by a seeded hash, in parts of about `salt_groups` groups whose
+    offsets come from counts, so that the many groups of size 1 never meet in one task. Empty input gives no rows; a null
     feature_id is left out.
     """
     scratch = Scratch(features.sparkSession, "splits")
     key = F.coalesce(F.concat(F.lit("author:"), F.col("group_author").cast("string")), F.concat(F.lit("record:"), F.coalesce("record", "feature_id")))
     f = scratch.table(feature_groups(features, documents, scratch).select("feature_id", "record", key.alias("group_key")))
-    groups = scratch.table(f.groupBy("group_key").agg(F.count("*").alias("size")).withColumn("h", F.xxhash64("group_key", F.lit(seed))).withColumn("salt", F.pmod("h", F.lit(salts))))
+    groups = scratch.table(f.groupBy("group_key").agg(F.count("*").alias("size")).withColumn("h", F.xxhash64("group_key", F.lit(seed))))
     by_size = groups.groupBy("size").count().collect()  # distinct sizes: at most the root of twice the features
+    salts = max(1, -(-max((r["count"] for r in by_size), default=1) // salt_groups))
+    groups = groups.withColumn("salt", F.pmod("h", F.lit(salts)))
     counts = choose_counts({r["size"]: r["count"] for r in by_size}, list(ratios))
     bounds = []
     for r in by_size:
