@@ -118,3 +118,14 @@ def test_a_batch_folder_and_what_it_holds(spark, tmp_path):
     rows = spark.read.json(f"{tmp_path}/job/records")
     sinks.rewrite(rows.withColumn("model", F.lit("m2")), f"{tmp_path}/job/records")
     assert {r.model for r in spark.read.json(f"{tmp_path}/job/records").collect()} == {"m2"}
+
+
+def test_chunks_take_the_spans_they_hold_whole(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    spans = [("A", i, i + 6, str(i)) for i in range(0, len(text) - 6, 5)]
+    d = spark.createDataFrame([("r", text, spans), ("s", "short", None)], f"record_id string, text string, entities {SPANS}")
+    rows = ft.chunks_with_spans(d, 60, 10).where("record_id = 'r'").orderBy("chunk_index").collect()
+    bounds = [(r.chunk_start, r.chunk_start + len(r.text)) for r in rows]
+    first = {s: next((n for n, (a, b) in enumerate(bounds) if s[1] >= a and s[2] <= b), None) for s in spans}
+    assert [[(x.text, x.start) for x in r.spans] for r in rows] == [[(s[3], s[1] - bounds[n][0]) for s in spans if first[s] == n] for n in range(len(rows))]
+    assert sum(r.unassigned for r in rows) == sum(n is None for n in first.values())
