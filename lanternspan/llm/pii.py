@@ -7,7 +7,6 @@ import pickle
 import re
 from collections import Counter
 from functools import reduce
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, hash_sample, in_batches, spread_rows
 from .encodings import strangeness
-from .tagger import OVERLAP, WINDOW, Gate, Tagger
+from .tagger import OVERLAP, WINDOW, Tagger
 
 TYPES = ("NAME", "EMAIL", "PHONE", "NATIONAL_ID", "ADDRESS")
 TAGS = ["O", *(f"{b}-{t}" for t in TYPES for b in "BI")]
@@ -23,8 +22,8 @@ TAGS = ["O", *(f"{b}-{t}" for t in TYPES for b in "BI")]
 SAMPLE = 2500
 #: Training windows, at most; two fifths of them hold nothing personal.
 MAX_WINDOWS = 3600
-#: Lines from which the gate learns, at most, and the length from which a document isn't a sample.
-MAX_LINES, LONGEST = 30_000, 20_000
+#: The length from which a document isn't a sample.
+LONGEST = 20_000
 
 _U, _L = "A-ZÀ-ÖØ-ÞĄĆĘŁŃŚŹŻĀ-ŽА-ЯЁЄІЇҐ", "a-zß-öø-ÿāąćęłńśźža-žа-яёєіїґ'’"
 #: One part of a name: capitalized or all capitals, hyphenated or not.
@@ -69,6 +68,7 @@ ADDRESS = re.compile(
     rf"|(?:вул|просп|пров|бульв|пл)\. ?[{_U}][{_L}]+, \d+[а-я]?(?:, кв\. \d+)?, (?:м\. ?)?({_TOWN})|(?:вулиця|проспект|провулок|бульвар|площа) [{_U}][{_L}]+,? \d+[а-я]?(?:/\d+)?, (?:м\. ?)?({_TOWN})"
     rf"|(?:Calle|C/|Avenida|Avda\.|Plaza|Paseo) (?:(?:de|del|la|las|los|el) )*[{_U}][{_L}]+(?: [{_U}][{_L}]+)?,? \d+(?:, \d+º ?\w*)?, (?:\d{{5}} )?({_TOWN}))"
 )
+_DIGIT = re.compile(r"\d")
 _LOWER = re.compile(rf"[{_L}]{{2,}}(?:-[{_L}]+)*")
 #: Share of all documents in which a word has to occur in lower case to count as common (two documents at least): the
 #: words that do are fewer than the words of an average document over this share, however many documents there are.
@@ -99,14 +99,18 @@ class Lexicon:
     @classmethod
     def count(cls, texts) -> tuple[Counter, Counter, Counter]:
         """Texts in which a word occurs in lower case, parts of names under captions, and towns at the end of addresses."""
-        lower, parts, towns = Counter(), Counter(), Counter()
+        lower, parts, towns, seen = Counter(), Counter(), Counter(), Counter()
         for t in texts:
-            lower.update(w for x in set(t.split()) if _LOWER.fullmatch(w := x.strip(_TRIM)))
+            seen.update(set(t.split()))
             for m in _CAPTIONED.finditer(t) if any(map(t.__contains__, NAME_CAPTIONS)) else ():
                 parts.update(cls.parts(m[1]))
-            for m in ADDRESS.finditer(t) if any(map(t.__contains__, STREET_WORDS)) else ():
-                if t[m.end() : m.end() + 1] in ("", "\n", ".", ",", ";"):
-                    towns[next(g for g in m.groups() if g)] += 1
+            for line in t.split("\n") if any(map(t.__contains__, STREET_WORDS)) else ():  # no address goes beyond a line or lacks these
+                for m in ADDRESS.finditer(line) if ", " in line and _DIGIT.search(line) else ():
+                    if line[m.end() : m.end() + 1] in ("", ".", ",", ";"):
+                        towns[next(g for g in m.groups() if g)] += 1
+        for x, n in seen.items():
+            if _LOWER.fullmatch(w := x.strip(_TRIM)):
+                lower[w] += n
         return lower, parts, towns
 
     @classmethod
@@ -182,51 +186,25 @@ def shapes(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     return found
 
 
-#: Characters read on either side of a word that the gate lets through.
-AROUND = 44
-
-
-#: What every span that shapes can return has in its line: a digit (phone and personal numbers, addresses), an at sign
-#: or word (addresses of mail), or what any name has, a capital behind another's word or initial. No shape crosses lines.
-_NEAR_OTHERS = re.compile(r"\d|@|\[at\]|\(at\)| at ", re.I)
+#: What every span that find can return has in its line, whatever the tagger says: a digit of any kind (phone and personal
+#: numbers, addresses), an at sign or word (addresses of mail), or what any name has, a capital behind another's word or
+#: initial. Neither a shape nor a decoded span crosses lines.
+_NEAR_OTHERS = re.compile(r"[\d¹²³⁰-₉①-⓿❶-➓\u1369-\u1371\u19da\U00010a40-\U00010a43\U00010e60-\U00010e68\U00011052-\U0001105a\U0001f100-\U0001f10a]|@|\[at\]|\(at\)| at ", re.I)
 _NEAR_NAME = re.compile(rf"[{_U}][{_U}{_L}-]+,? [{_U}]|[{_U}]\. ?[{_U}]")
 
 
 def may_hold(line: str) -> bool:
-    """Whether a line can have a span in it: what lacks all of these signs fits no shape."""
+    """Whether a line can have a span in it: of what lacks all of these signs nothing is returned, whatever its tags."""
     return bool(_NEAR_OTHERS.search(line)) or bool(_NEAR_NAME.search(line))
 
 
-#: Signs for which a window is read whatever the gate says: of mail, of phone numbers, and captions.
-_SIGN_WORDS = ("@", "[at]", "(at)", " dot ", *NAME_CAPTIONS, *ID_CAPTIONS)
-_DIGIT_RUN = re.compile(r"\d(?:[ ./()-]{0,2}\d){5}")
-_SIGNS = re.compile(_DIGIT_RUN.pattern + "|" + "|".join(map(re.escape, _SIGN_WORDS)))
-
-
-def windows(text: str, gate: Gate | None = None) -> list[tuple[int, str]]:
-    """(start, text) of the windows around what the gate or a sign lets through; without a gate, of all lines that can
-    hold a span of a known shape. Stretches longer than a window are cut into overlapping ones."""
+def windows(text: str) -> list[tuple[int, str]]:
+    """(start, text) of the windows over every line that can hold a span, each line whole; one longer than a window is
+    cut into overlapping ones, each of which overlaps with its neighbours only."""
     out, at = [], 0
     for line in text.split("\n"):
-        if gate is None:
-            parts = [(0, len(line))] if may_hold(line) else []
-        else:
-            words = line.split(" ")
-            near = gate.hits(words)
-            if near:
-                ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
-                near = [(ends[i] - len(words[i]), ends[i]) for i in near]
-            if any(map(line.__contains__, _SIGN_WORDS)) or _DIGIT_RUN.search(line):
-                near += [m.span() for m in _SIGNS.finditer(line)]
-            parts = []
-            for a, b in sorted(near):
-                a, b = max(0, a - AROUND), min(len(line), b + AROUND)
-                if parts and a <= parts[-1][1]:
-                    parts[-1] = (parts[-1][0], max(b, parts[-1][1]))
-                else:
-                    parts.append((a, b))
-        for a, b in parts if line else ():
-            out += [(at + i, line[i : min(b, i + WINDOW)]) for i in range(a, max(a + 1, b - OVERLAP), WINDOW - OVERLAP)]
+        if may_hold(line):
+            out += [(at + i, line[i : i + WINDOW]) for i in range(0, max(1, len(line) - OVERLAP), WINDOW - OVERLAP)]
         at += len(line) + 1
     return out
 
@@ -246,11 +224,11 @@ def reformatted(number: str, rng: np.random.Generator) -> str:
     return f"({out[0]}) {sep.join(out[1:])}" if rng.random() < 0.2 and len(out) > 1 else sep.join(out)
 
 
-def train(texts: list[str], lex: Lexicon) -> tuple[Tagger, Gate]:
-    """Tagger and gate, fitted to windows of the sample whose spans are labelled by captions, shapes and names met under
+def train(texts: list[str], lex: Lexicon) -> Tagger:
+    """The tagger, fitted to windows of the sample whose spans are labelled by captions, shapes and names met under
     captions; of numbers also in formats that no shape knows."""
     rng = np.random.default_rng(3)
-    some, none, lines, inside = [], [], [], []
+    some, none = [], []
 
     def label(w: str, at: int, spans) -> np.ndarray:
         lab = np.zeros(len(w), np.int64)
@@ -284,23 +262,16 @@ def train(texts: list[str], lex: Lexicon) -> tuple[Tagger, Gate]:
                 for i, w in windows(ln):
                     lab = label(w, i, sp)
                     (some if lab.any() else none).append((w, lab))
-                words, p, num = ln.split(" "), 0, []
-                for w in words:
-                    num.append(next((n for n, (a, b, _) in enumerate(sp) if a < p + len(w) and b > p), -1) if w else -1)
-                    p += len(w) + 1
-                lines.append(words)
-                inside.append(num)
     rows = [part[i] for part, n in ((some, MAX_WINDOWS * 3 // 5), (none, MAX_WINDOWS * 2 // 5)) for i in rng.permutation(len(part))[:n]]
     chars = Counter(c for w, _ in rows for c in w)
     tagger = Tagger(TAGS, "".join(sorted(c for c, n in chars.items() if n >= 3)))
     if rows:
         tagger.fit([w for w, _ in rows], [lab for _, lab in rows])
-    held = rng.permutation(len(lines))[:MAX_LINES]
-    return tagger, Gate().fit([lines[i] for i in held], [inside[i] for i in held])
+    return tagger
 
 
 @functools.lru_cache(maxsize=2)
-def _trained(spark, texts: tuple[str, ...], lex: Lexicon) -> tuple[Tagger, Gate]:
+def _trained(spark, texts: tuple[str, ...], lex: Lexicon) -> Tagger:
     """Trained in a task, so that the driver's memory and core stay free; the models of the last samples are kept."""
     sent = spark.sparkContext.broadcast((texts, lex))
 
@@ -346,14 +317,15 @@ def reconcile(pieces: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[in
     the tag of the window whose middle is nearer."""
     out: list[tuple[int, int, str, float]] = []
     tags: dict[int, tuple[float, int, float]] = {}
+    last = -1
     for at, t, *p in pieces:
         p = p[0] if p else np.ones(len(t))
-        if not t.any() and not tags:
-            continue
         mid = at + len(t) / 2
-        for i in np.flatnonzero(t):
-            tags[at + int(i)] = min(tags.get(at + int(i), (1e18, 0, 0.0)), (abs(at + int(i) - mid), int(t[i]), float(p[i])))
-        for i in np.flatnonzero(t == 0) if tags else ():  # an outside tag counts as well
+        before = last + 1 - at
+        for i in np.flatnonzero(t).tolist():
+            tags[at + i] = min(tags.get(at + i, (1e18, 0, 0.0)), (abs(at + i - mid), int(t[i]), float(p[i])))
+            last = max(last, at + i)
+        for i in np.flatnonzero(t[: max(0, before)] == 0).tolist():  # an outside tag counts as well
             if at + i in tags and abs(at + i - mid) < tags[at + i][0]:
                 del tags[at + i]
     run = None
@@ -385,12 +357,31 @@ def find(text: str, lex: Lexicon, decoded: list[tuple[int, np.ndarray, np.ndarra
     return kept
 
 
+def tagged(texts: list[str], tagger: Tagger, batch: int = 256) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """By text, the tags and their probabilities of its windows. All windows are read; those with outside tags only are
+    left out unless one beside them has others, as find makes nothing of them."""
+    pieces = [(i, at, w) for i, t in enumerate(texts) for at, w in windows(t)]
+    got: list = [None] * len(pieces)
+    order, hits = sorted(range(len(pieces)), key=lambda j: len(pieces[j][2])), []
+    for k in range(0, len(order), batch):
+        part = order[k : k + batch]
+        tags, sure = tagger.decode_with_confidence(tagger.encode([pieces[j][2] for j in part]), LEAN)
+        for c, j in enumerate(part):
+            got[j] = tags, sure, c
+        hits += [part[c] for c in np.flatnonzero(tags.any(0)).tolist()]
+    out: dict[int, list] = {}
+    for j in sorted({x for j in hits for x in (j - 1, j, j + 1) if 0 <= x < len(pieces) and pieces[x][0] == pieces[j][0]}):
+        (i, at, w), (tags, sure, c) = pieces[j], got[j]
+        out.setdefault(i, []).append((at, tags[: len(w), c], sure[: len(w), c]))
+    return out
+
+
 def personal(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, redact: bool = False) -> DataFrame:
     """(key, span_start, span_end, pii_type) of each occurrence, or with redact=True (key, redacted, n_spans).
 
     A character-level bidirectional LSTM with CRF transitions, trained on windows of at most `sample` documents,
-    tags every window that a gate over words, fitted to the same spans, or a sign lets through; overlapping windows
-    are reconciled into spans. Where a known shape meets a span it gives its bounds; else the tagger's own stand if it is sure. In the redacted text each span is "[TYPE]".
+    tags every window; overlapping windows are reconciled into spans. Only lines are passed over of which no tag could
+    make a span (see may_hold). Where a known shape meets a span it gives its bounds; else the tagger's own stand if it is sure. In the redacted text each span is "[TYPE]".
     Offsets count code points. Null and empty texts, and those with nothing found, give no span; redacted texts come
     for all non-null ones. Repeated rows give their spans once per row with another text.
     """
@@ -399,27 +390,19 @@ def personal(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
     contact = reduce(lambda a, b: a | b, (F.contains("t", F.lit(c)) for c in ("@", "[at]", "(at)", *NAME_CAPTIONS)), F.col("t").rlike(r"\+\d{2}"))
     rows = hash_sample(base, "doc", contact & (F.length("t") < LONGEST), sample, 0.1).collect()
     lex = Lexicon.of(base)
-    sent = spark.sparkContext.broadcast((*_trained(spark, tuple(r["t"] for r in rows), lex), lex))
+    sent = spark.sparkContext.broadcast((_trained(spark, tuple(r["t"] for r in rows), lex), lex))
 
     def run(batches):
         import pyarrow as pa
 
-        tagger, gate, lex = sent.value
+        tagger, lex = sent.value
         for rows in in_batches(arrow_rows(batches), chars=400_000):
-            pieces = [(i, at, w) for i, (_, t) in enumerate(rows) for at, w in windows(t, gate)]
-            decoded: dict[int, list] = {}
-            order = sorted(range(len(pieces)), key=lambda j: len(pieces[j][2]))
-            for k in range(0, len(order), 256):
-                part = order[k : k + 256]
-                tags, sure = tagger.decode_with_confidence(tagger.encode([pieces[j][2] for j in part]), LEAN)
-                for c, j in enumerate(part):
-                    i, at, w = pieces[j]
-                    decoded.setdefault(i, []).append((at, tags[: len(w), c], sure[: len(w), c]))
+            decoded = tagged([t for _, t in rows], tagger)
             out = []
             for i, (doc, t) in enumerate(rows):
                 if i not in decoded and not redact:
                     continue
-                spans = find(t, lex, sorted(decoded.get(i, []), key=lambda x: x[0]))
+                spans = find(t, lex, decoded.get(i, []))
                 if redact:
                     parts, at = [], 0
                     for a, b, kind in spans:

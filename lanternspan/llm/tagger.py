@@ -38,10 +38,14 @@ class Tagger:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         """(longest text, number of texts) character numbers; all digits are one character."""
-        out = np.zeros((max(map(len, texts), default=0), len(texts)), np.int32)
-        get = self.index.get
-        for j, t in enumerate(texts):
-            out[: len(t), j] = [get(c, 1) for c in _DIGITS.sub("0", t)]
+        length = np.array([len(t) for t in texts], np.int64)
+        out = np.zeros((int(length.max(initial=0)), len(texts)), np.int32)
+        if getattr(self, "_number", None) is None:  # the last entry stands for all characters beyond
+            self._number = np.ones(max(map(ord, self.index), default=0) + 2, np.int32)
+            self._number[[ord(c) for c in self.index]] = list(self.index.values())
+        codes = np.frombuffer(_DIGITS.sub("0", "".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+        out[place, np.repeat(np.arange(len(texts)), length)] = self._number[np.minimum(codes, len(self._number) - 1)]
         return out
 
     def _lstm(self, x, d, keep):
@@ -67,80 +71,97 @@ class Tagger:
         return both @ self.p["O"] + self.p["o"], (x, f, b, both)
 
     def _fast(self):
-        """Tables for decoding: inputs of both directions for each character, scaled so that one tanh serves all gates,
-        and the recurrent weights; gates run along the first axis, so that each gate's values lie together."""
+        """Weights for decoding, those of both directions behind each other: from a state, a character's embedding and 1 to
+        the gates, scaled so that one tanh serves all gates; the embeddings; the output weights. States come out twice
+        their size, so the weights that they meet are halved. Values of one kind lie together, texts side by side."""
         if getattr(self, "_ready", None) is None:
             p, h = self.p, self.hidden
             scale = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)
-            table = [np.ascontiguousarray(((p["E"] @ p[f"W{d}"] + p[f"c{d}"]) * scale)) for d in "fb"]
-            self._ready = table, np.stack([np.ascontiguousarray((p[f"U{d}"] * scale).T) for d in "fb"])
+            w = np.stack([(np.concatenate([0.5 * p[f"U{d}"], p[f"W{d}"], p[f"c{d}"][None]]) * scale).T for d in "fb"])
+            self._ready = np.ascontiguousarray(w, np.float32), np.ascontiguousarray(p["E"].T), np.ascontiguousarray(0.5 * p["O"].T)
         return self._ready
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_ready"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_ready", "_number")}
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Most likely tags (Viterbi) of (characters, n)."""
         return self.decode_with_confidence(ids)[0]
 
     def decode_with_confidence(self, ids: np.ndarray, lean: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Most likely tags (Viterbi) of (characters, n), and the probability that the network alone gives each. `lean` is
-        taken from the outside tag's scores: more spans come out, and a later check decides."""
-        table, u = self._fast()
+        """Most likely tags (Viterbi) of (characters, n), and the probability that the network alone gives each; 1 in texts
+        without any but the outside tag. `lean` is taken from the outside tag's scores: more spans come out, and a later
+        check decides."""
+        w, emb, o = self._fast()
         h, (steps, n) = self.hidden, ids.shape
         if not ids.size:
             return np.zeros((steps, n), np.int8), np.ones((steps, n), np.float32)
         ids = ids.astype(np.intp)
-        both = np.empty((steps, 2, h, n), np.float32)
-        z, more = np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h, n), np.float32)
-        state, cell, part = np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
+        x = np.empty((steps + 1, 2, w.shape[2], n), np.float32)
+        x[0, :, :h], x[:, :, -1] = 0, 1
         for t in range(steps):
-            z[0], z[1] = table[0][ids[t]].T, table[1][ids[steps - 1 - t]].T
-            np.matmul(u, state, out=more)
-            np.add(z, more, out=z)
+            np.take(emb, ids[t], axis=1, out=x[t, 0, h:-1], mode="clip")
+            x[steps - 1 - t, 1, h:-1] = x[t, 0, h:-1]
+        z, cell, part = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
+        gates = z[:, : 3 * h]
+        for t in range(steps):
+            np.matmul(w, x[t], out=z)
             np.tanh(z, out=z)
-            gates = z[:, : 3 * h]
-            gates *= 0.5
-            gates += 0.5
+            gates += 1  # twice the sigmoid
             cell *= z[:, h : 2 * h]
             np.multiply(z[:, :h], z[:, 3 * h :], out=part)
             cell += part
+            cell *= 0.5
+            state = x[t + 1, :, :h]
             np.tanh(cell, out=state)
             state *= z[:, 2 * h : 3 * h]
-            both[t, 0], both[steps - 1 - t, 1] = state[0], state[1]
-        e = np.matmul(np.ascontiguousarray(self.p["O"].T), both.reshape(steps, 2 * h, n))
+        e = np.matmul(o[:, :h], x[1:, 0, :h])
+        e += np.matmul(o[:, h:], x[:0:-1, 1, :h])
         e += self.p["o"][:, None]
         e[:, 0] -= lean
         out, sure = np.zeros((steps, n), np.int8), np.ones((steps, n), np.float32)
-        # a path off the outside tag pays in emissions and gains by transitions at most; where it can't gain, the outside tag is best
-        trans = self.p["T"]
-        gain = max(0.0, float((trans - trans[0, 0]).max()))
-        open_ = np.flatnonzero((e[:, 1:].max(1) - e[:, 0]).max(0) > -2 * gain)
+        open_ = np.flatnonzero(self._gain(e) > -1e-3)
         if len(open_):
-            out[:, open_], sure[:, open_] = self._viterbi(np.ascontiguousarray(e[:, :, open_].transpose(0, 2, 1)))
+            out[:, open_], sure[:, open_] = self._viterbi(e[:, :, open_])
         return out, sure
 
+    def _gain(self, e: np.ndarray) -> np.ndarray:
+        """What any stretch off the outside tag can gain over it at most, with the best tag and the best transitions of
+        each place taken on their own: where that is below 0, the outside tag is best everywhere."""
+        trans = self.p["T"] - self.p["T"][0, 0]
+        start, stay, end = float(trans[0, 1:].max()), float(trans[1:, 1:].max()), float(trans[1:, 0].max())
+        d = e[:, 1:].max(1) - e[:, 0]
+        run = d[0].copy()
+        best = run + (end if len(d) > 1 else 0)
+        for t in range(1, len(d)):
+            run += stay
+            np.maximum(run, start, out=run)
+            run += d[t]
+            np.maximum(best, run + (end if t < len(d) - 1 else 0), out=best)
+        return best
+
     def _viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        steps, n, k = e.shape
-        back = np.empty((steps, n, k), np.int8)
-        s, trans = e[0], self.p["T"]
-        best, at, new = np.empty((n, k), np.float32), np.empty((n, k), np.int8), np.empty((n, k), np.float32)
+        """e: (characters, tags, n)."""
+        steps, k, n = e.shape
+        trans = self.p["T"]
+        s, new, only = np.empty_like(e), np.empty((k, k, n), np.float32), e[0, 0].copy()
+        s[0] = e[0]
         for t in range(1, steps):
-            np.add(s[:, :1], trans[0], out=best)
-            at[:] = 0
-            for j in range(1, k):
-                np.add(s[:, j : j + 1], trans[j], out=new)
-                over = new > best
-                at[over] = j
-                np.maximum(best, new, out=best)
-            back[t] = at
-            s = best + e[t]
-        out = np.empty((steps, n), np.int8)
-        out[-1] = s.argmax(1)
-        for t in range(steps - 1, 0, -1):
-            out[t - 1] = back[t][np.arange(n), out[t]]
-        p = np.exp(e - e.max(2, keepdims=True))
-        return out, np.take_along_axis(p, out[:, :, None].astype(np.int64), 2)[:, :, 0] / p.sum(2)
+            np.add(s[t - 1][:, None], trans[:, :, None], out=new)
+            np.maximum.reduce(new, axis=0, out=s[t])
+            s[t] += e[t]
+            only += trans[0, 0]
+            only += e[t, 0]
+        out, sure = np.zeros((steps, n), np.int8), np.ones((steps, n), np.float32)
+        at = np.flatnonzero(s[-1].max(0) > only)  # elsewhere the path of outside tags is as good as any
+        if len(at):
+            s, e, path = s[:, :, at], e[:, :, at], np.empty((steps, len(at)), np.int64)
+            path[-1] = s[-1].argmax(0)
+            for t in range(steps - 1, 0, -1):
+                path[t - 1] = (s[t - 1] + trans[:, path[t]]).argmax(0)
+            p = np.exp(e - e.max(1, keepdims=True))
+            out[:, at], sure[:, at] = path, np.take_along_axis(p, path[:, None], 1)[:, 0] / p.sum(1)
+        return out, sure
 
     def _gradients(self, ids, gold):
         p, h = self.p, self.hidden
@@ -230,7 +251,7 @@ class Gate:
 
     A word is judged by itself, its form, its first and last letters, and the forms beside it (hashed). The threshold
     lets all but `lost` of the labelled spans of the sample through, less a margin (labels are weak, and the last few
-    hundredths are mostly false); a span needs one word that passes.
+    hundredths are mostly false); a span needs one word that passes. No operator uses it: `pii` has every window read.
     """
 
     BUCKETS = 1 << 17

@@ -35,3 +35,50 @@ def test_decoded_names_of_unknown_parts_are_kept():
     tags[7:19] = 2
     tags[7] = 1
     assert pii.find(t, pii.Lexicon(["plain words", "plain words"]), [(0, tags)]) == [(7, 19, "NAME")]
+
+
+class _Marks:
+    """Stands for the tagger: tags what it is told to as a name and keeps what it was given."""
+
+    def __init__(self, *names):
+        self.names, self.read = names, []
+
+    def encode(self, texts):
+        self.read += texts
+        self.now = texts
+        return np.ones((max(map(len, texts)), len(texts)), np.int32)
+
+    def decode_with_confidence(self, ids, lean=0.0):
+        tags = np.zeros(ids.shape, np.int8)
+        for c, t in enumerate(self.now):
+            for n in self.names:
+                if n in t:
+                    tags[t.index(n) : t.index(n) + len(n), c] = 2
+                    tags[t.index(n), c] = 1
+        return tags, np.ones(ids.shape, np.float32)
+
+
+def test_the_tagger_reads_every_line_that_can_hold_a_span():
+    lines = ["gestern half uns wieder Oswin Tarrel beim umzug", "so plain words " * 30 + "then Brenna Quillow left", "Yes We Can", "room 7", "plain words only"]
+    texts = ["\n".join(lines), "plain words", "", "Mirel Dost"]
+    tagger = _Marks("Oswin Tarrel", "Brenna Quillow", "Mirel Dost")
+    decoded = pii.tagged(texts, tagger, batch=2)
+    for line in (*lines[:4], "Mirel Dost"):
+        assert all(any(line[i : i + 2] in w for w in tagger.read) for i in range(len(line) - 1))
+        assert sum(w in line for w in tagger.read) == len(pii.windows(line))
+    lex = pii.Lexicon(["plain words", "plain words"])
+    assert [[t[a:b] for a, b, _ in pii.find(t, lex, decoded.get(i, []))] for i, t in enumerate(texts)] == [["Oswin Tarrel", "Brenna Quillow"], [], [], ["Mirel Dost"]]
+
+
+def test_lines_passed_over_give_nothing_whatever_their_tags():
+    lex, rng = pii.Lexicon(["plain words", "plain words"]), random.Random(2)
+    pool = ["Passport:", "ul.", "Name:", "dot", "example", "at", "McX", "and", "PESEL", "Street,", "O'Neil", "ab-cd", "I", "Kestrel,", "J.", "(+)", "[]", "é", "вул."]
+    lines = [" ".join(rng.choices(pool, k=rng.randint(1, 8))) for _ in range(3000)]
+    passed = [x for x in lines if not pii.may_hold(x)]
+    assert len(passed) > 300
+    for line in passed:
+        for k in range(len(pii.TYPES)):
+            tags = np.full(len(line), 2 + 2 * k)
+            tags[0] -= 1
+            assert pii.find(line, lex, [(0, tags)]) == []
+    assert all(pii.may_hold(c) for c in map(chr, range(0x110000)) if c.isdigit())
