@@ -42,16 +42,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Setting of Spark: whether a query's shuffle files are removed at its end; else they stay until the driver collects garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and lost executors cost nothing already done."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, free: bool = False) -> DataFrame:
+        """With free=True the shuffle files of df leave the disks as soon as the table is written."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        was = self.spark.conf.get(_FREE)
+        self.spark.conf.set(_FREE, "true" if free else was)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_FREE, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

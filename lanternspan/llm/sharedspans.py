@@ -121,6 +121,20 @@ def unsqueeze(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack(pos: np.ndarray) -> bytes:
+    """Positions in order: the first, then the steps between them in as few bytes as the longest needs. Where all places
+    of a stretch are marked, its steps are all alike and Spark's compression leaves little of them."""
+    pos = np.sort(pos.astype(np.int64))
+    step = np.diff(pos)
+    width = next(w for w in (1, 2, 4) if step.max(initial=0) < 1 << 8 * w)
+    return pos[:1].astype("<u4").tobytes() + bytes([width]) + step.astype(f"<u{width}").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    first, width = np.frombuffer(data, "<u4", 1).astype(np.int64), data[4]
+    return np.cumsum(np.concatenate([first, np.frombuffer(data, f"<u{width}", -1, 5).astype(np.int64)]))
+
+
 #: Bytes sent of two hashes: of anchors and, under the other base, of their contexts; of stretches under either base.
 #: An anchor met by chance is compared again; a context or stretch is taken for equal, at 112 or 88 bits.
 ANCHOR_BYTES, CONTEXT_BYTES = 6, 8
@@ -129,6 +143,7 @@ STRETCH_BYTES, STRETCH_MORE = 8, 3
 
 class _Sender:
     """Gathers (hash, context, document, position) of a task, settles what it can and sends the rest by hash bucket.
+    Without contexts, the positions of what is settled go packed and without a state.
 
     Of a hash that several documents of the task hold one occurrence goes on, so what meets in a bucket is at
     most one row of a hot hash per task and flush.
@@ -161,7 +176,7 @@ class _Sender:
         rows = []
         if known.any():
             for d, a, b in _by(doc[known], pos[known], state[known]):
-                rows.append((-1 - int(d) % self.buckets, int(d), a.tobytes(), b.tobytes(), None, None, None))
+                rows.append((-1 - int(d) % self.buckets, int(d), *((a.tobytes(), b.tobytes()) if self.contexts else (pack(a), b"")), None, None, None))
         bucket = (h >> np.uint64(40)) % np.uint64(self.buckets)
         at = np.flatnonzero(send)
         at = at[np.argsort(bucket[at], kind="stable")]
@@ -215,7 +230,7 @@ def _receiver(contexts: bool):
             h, c, doc, flag, pos = (np.concatenate(x) for x in zip(*met))
             state = settle(h, c, doc, flag, contexts)[0]
             ok = state > 0
-            known += [(int(d), a.tobytes(), b.tobytes()) for d, a, b in _by(doc[ok], pos[ok], state[ok])]
+            known += [(int(d), *((a.tobytes(), b.tobytes()) if contexts else (pack(a), b""))) for d, a, b in _by(doc[ok], pos[ok], state[ok])]
         return pa.table({"doc": pa.array([x[0] for x in known], pa.int64()), "pos": pa.array([x[1] for x in known], pa.binary()), "state": pa.array([x[2] for x in known], pa.binary())})
 
     return settle_bucket
@@ -269,8 +284,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             pos = np.concatenate([np.frombuffer(x["pos"], np.uint32) for x in found]).astype(np.int64)
             sure, ask = (_cover(pos[state & bit > 0], v, n - length + 1) for bit in (1, 2))
             if sure.any():
-                s = np.flatnonzero(sure).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(([-1 - doc % buckets], [doc], [s.tobytes()], [b""], [None], [None], [None]), (pa.int32(), pa.int64(), *[pa.binary()] * 5))], _SENT_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(([-1 - doc % buckets], [doc], [pack(np.flatnonzero(sure))], [b""], [None], [None], [None]), (pa.int32(), pa.int64(), *[pa.binary()] * 5))], _SENT_NAMES)
             if ask.any():
                 up, down = powers.upto(n + 1)
                 up2, down2 = other.upto(n + 1)
@@ -285,16 +299,15 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         import pyarrow as pa
 
         for doc, found in arrow_rows(batches):
-            p = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in found]).astype(np.int64))
+            p = np.unique(np.concatenate([unpack(x) for x in found]))
             gap = np.flatnonzero(np.diff(p) > length)
             start, end = p[np.append(0, gap + 1)], p[np.append(gap, len(p) - 1)] + length
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), doc)), pa.array(start), pa.array(end)], ["doc_id", "span_start", "span_end"])
 
     met = "doc bigint, pos binary, state binary"
     found = base.mapInArrow(anchors, _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_receiver(True), met)
-    by_doc = Scratch(docs.sparkSession, "sharedspans").table(found.groupBy("doc").agg(F.collect_list(F.struct("pos", "state")).alias("found")))
-    del found
-    docs.sparkSession.sparkContext._jvm.System.gc()  # so that Spark's cleaner takes the anchors off the disks before more is sent
+    # the anchors are off the disks before more is sent
+    by_doc = Scratch(docs.sparkSession, "sharedspans").table(found.groupBy("doc").agg(F.collect_list(F.struct("pos", "state")).alias("found")), free=True)
     asked = _likely(base, by_doc, size).join(by_doc, "doc").select("doc", "t", "found")
     marks = asked.mapInArrow(stretches, _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_receiver(False), met)
     return marks.groupBy("doc").agg(F.collect_list("pos").alias("found")).mapInArrow(regions, "doc_id bigint, span_start bigint, span_end bigint")
