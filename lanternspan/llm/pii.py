@@ -95,6 +95,7 @@ class Lexicon:
         often = max(3, often[len(often) // 12] if often else 3)  # given names are few, so each occurs often
         self.given = frozenset(w for w, n in parts.items() if n >= often and w not in self.lower)
         self.towns = frozenset(w for w, n in towns.items() if n >= least)
+        self.heads = frozenset(w.split("-")[0] for w in self.given)
 
     @classmethod
     def count(cls, texts) -> tuple[Counter, Counter, Counter]:
@@ -198,6 +199,25 @@ def may_hold(line: str) -> bool:
     return bool(_NEAR_OTHERS.search(line)) or bool(_NEAR_NAME.search(line))
 
 
+_AT = re.compile(r"@|\[at\]|\(at\)| at [\w-]+ dot ", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def may_fit(text: str, kind: str, lex: Lexicon) -> bool:
+    """Whether shapes can have a span of the kind in a text: False only where it has none."""
+    if kind == "EMAIL":
+        return bool(_AT.search(text))
+    if kind == "NAME":
+        return any(w.lower() in lex.heads for w in _LETTERS.findall(text)) or bool(_CAPTIONED.search(text))
+    if not _DIGIT.search(text):
+        return False
+    if kind == "ADDRESS":
+        return ", " in text and any(map(text.__contains__, STREET_WORDS))
+    if kind == "PHONE":
+        return bool(PHONE.search(text))
+    return bool(ID_SHAPE.search(text) or ID_CAPTIONED.search(text))
+
+
 def windows(text: str) -> list[tuple[int, str]]:
     """(start, text) of the windows over every line that can hold a span, each line whole; one longer than a window is
     cut into overlapping ones, each of which overlaps with its neighbours only."""
@@ -322,10 +342,13 @@ def reconcile(pieces: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[in
         p = p[0] if p else np.ones(len(t))
         mid = at + len(t) / 2
         before = last + 1 - at
-        for i in np.flatnonzero(t).tolist():
-            tags[at + i] = min(tags.get(at + i, (1e18, 0, 0.0)), (abs(at + i - mid), int(t[i]), float(p[i])))
-            last = max(last, at + i)
-        for i in np.flatnonzero(t[: max(0, before)] == 0).tolist():  # an outside tag counts as well
+        inside = t.nonzero()[0]
+        for i, k, x in zip(inside.tolist(), t[inside].tolist(), p[inside].tolist()):
+            new = (abs(at + i - mid), k, x)
+            tags[at + i] = min(tags.get(at + i, new), new)
+        if len(inside):
+            last = max(last, at + int(inside[-1]))
+        for i in (t[:before] == 0).nonzero()[0].tolist() if before > 0 else ():  # an outside tag counts as well
             if at + i in tags and abs(at + i - mid) < tags[at + i][0]:
                 del tags[at + i]
     run = None
@@ -343,12 +366,13 @@ def reconcile(pieces: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[in
 
 def find(text: str, lex: Lexicon, decoded: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, str]]:
     """Spans from the tagged windows of a text. Shapes are looked up around what was decoded only."""
-    rough, out, near, fits = reconcile(decoded), set(), (0, 0), []
+    rough, out, near, fits = reconcile(decoded), set(), (0, 0), None
     for a, b, kind, sure in rough:
         if b + 60 > near[1]:
-            near = (max(0, a - 100), b + 160)
-            fits = [(near[0] + x, near[0] + y, k) for x, y, k in shapes(text[near[0] : near[1]], lex)]
-        if got := _settle(text, a, b, kind, sure, fits, lex):
+            near, fits = (max(0, a - 100), b + 160), None
+        if fits is None and may_fit(part := text[near[0] : near[1]], kind, lex):
+            fits = [(near[0] + x, near[0] + y, k) for x, y, k in shapes(part, lex)]
+        if got := _settle(text, a, b, kind, sure, fits or [], lex):
             out.add((*got, kind))
     kept: list[tuple[int, int, str]] = []
     for a, b, kind in sorted(out, key=lambda s: (s[0], -s[1])):
@@ -357,7 +381,7 @@ def find(text: str, lex: Lexicon, decoded: list[tuple[int, np.ndarray, np.ndarra
     return kept
 
 
-def tagged(texts: list[str], tagger: Tagger, batch: int = 256) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
+def tagged(texts: list[str], tagger: Tagger, batch: int = 768) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
     """By text, the tags and their probabilities of its windows. All windows are read; those with outside tags only are
     left out unless one beside them has others, as find makes nothing of them."""
     pieces = [(i, at, w) for i, t in enumerate(texts) for at, w in windows(t)]
@@ -370,7 +394,7 @@ def tagged(texts: list[str], tagger: Tagger, batch: int = 256) -> dict[int, list
             got[j] = tags, sure, c
         hits += [part[c] for c in np.flatnonzero(tags.any(0)).tolist()]
     out: dict[int, list] = {}
-    for j in sorted({x for j in hits for x in (j - 1, j, j + 1) if 0 <= x < len(pieces) and pieces[x][0] == pieces[j][0]}):
+    for j in sorted({x for j in hits for x in (j - 1, j, j + 1) if 0 <= x < len(pieces) and pieces[x][0] == pieces[j][0] and abs(pieces[x][1] - pieces[j][1]) < WINDOW}):
         (i, at, w), (tags, sure, c) = pieces[j], got[j]
         out.setdefault(i, []).append((at, tags[: len(w), c], sure[: len(w), c]))
     return out
@@ -396,7 +420,7 @@ def personal(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
         import pyarrow as pa
 
         tagger, lex = sent.value
-        for rows in in_batches(arrow_rows(batches), chars=400_000):
+        for rows in in_batches(arrow_rows(batches)):
             decoded = tagged([t for _, t in rows], tagger)
             out = []
             for i, (doc, t) in enumerate(rows):

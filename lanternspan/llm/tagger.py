@@ -72,13 +72,14 @@ class Tagger:
 
     def _fast(self):
         """Weights for decoding, those of both directions behind each other: from a state, a character's embedding and 1 to
-        the gates, scaled so that one tanh serves all gates; the embeddings; the output weights. States come out twice
+        the gates, scaled so that one tanh serves all gates; the embeddings; the output weights and their bias. States come out twice
         their size, so the weights that they meet are halved. Values of one kind lie together, texts side by side."""
         if getattr(self, "_ready", None) is None:
             p, h = self.p, self.hidden
             scale = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)
             w = np.stack([(np.concatenate([0.5 * p[f"U{d}"], p[f"W{d}"], p[f"c{d}"][None]]) * scale).T for d in "fb"])
-            self._ready = np.ascontiguousarray(w, np.float32), np.ascontiguousarray(p["E"].T), np.ascontiguousarray(0.5 * p["O"].T)
+            o = np.stack([0.5 * p["O"][:h].T, 0.5 * p["O"][h:].T])
+            self._ready = np.ascontiguousarray(w, np.float32), np.ascontiguousarray(p["E"].T), np.ascontiguousarray(o, np.float32), p["o"][:, None]
         return self._ready
 
     def __getstate__(self):
@@ -91,75 +92,100 @@ class Tagger:
     def decode_with_confidence(self, ids: np.ndarray, lean: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Most likely tags (Viterbi) of (characters, n), and the probability that the network alone gives each; 1 in texts
         without any but the outside tag. `lean` is taken from the outside tag's scores: more spans come out, and a later
-        check decides."""
-        w, emb, o = self._fast()
+        check decides. Texts end where their padding (0) begins, so a text's tags don't depend on those beside it."""
+        w, emb, o, bias = self._fast()
         h, (steps, n) = self.hidden, ids.shape
         if not ids.size:
             return np.zeros((steps, n), np.int8), np.ones((steps, n), np.float32)
-        ids = ids.astype(np.intp)
-        x = np.empty((steps + 1, 2, w.shape[2], n), np.float32)
-        x[0, :, :h], x[:, :, -1] = 0, 1
+        ids, real = ids.astype(np.intp), ids > 0
+        padded = int(real.sum(0).min())  # from here on some texts have ended
+        # state, embedding and 1 of both directions for one character: what a step touches stays in the core's cache
+        x, z, e = np.ones((2, w.shape[2], n), np.float32), np.empty((2, 4 * h, n), np.float32), np.empty((steps, 2, len(self.tags), n), np.float32)
+        cell, part = np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
+        gates, state = z[:, : 3 * h], x[:, :h]
+        state[:] = 0
         for t in range(steps):
-            np.take(emb, ids[t], axis=1, out=x[t, 0, h:-1], mode="clip")
-            x[steps - 1 - t, 1, h:-1] = x[t, 0, h:-1]
-        z, cell, part = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
-        gates = z[:, : 3 * h]
-        for t in range(steps):
-            np.matmul(w, x[t], out=z)
+            np.take(emb, ids[t], axis=1, out=x[0, h:-1], mode="clip")
+            np.take(emb, ids[steps - 1 - t], axis=1, out=x[1, h:-1], mode="clip")
+            np.matmul(w, x, out=z)
             np.tanh(z, out=z)
             gates += 1  # twice the sigmoid
             cell *= z[:, h : 2 * h]
             np.multiply(z[:, :h], z[:, 3 * h :], out=part)
             cell += part
             cell *= 0.5
-            state = x[t + 1, :, :h]
-            np.tanh(cell, out=state)
-            state *= z[:, 2 * h : 3 * h]
-        e = np.matmul(o[:, :h], x[1:, 0, :h])
-        e += np.matmul(o[:, h:], x[:0:-1, 1, :h])
-        e += self.p["o"][:, None]
+            np.tanh(cell, out=part)
+            np.multiply(part, z[:, 2 * h : 3 * h], out=state)
+            if (at := steps - 1 - t) >= padded:  # backwards, shorter texts haven't begun
+                cell[1] *= real[at]
+                state[1] *= real[at]
+            np.matmul(o, state, out=e[t])
+        for t in range(steps):
+            e[t, 0] += e[steps - 1 - t, 1]
+            e[t, 0] += bias
+        e = e[:, 0]
         e[:, 0] -= lean
         out, sure = np.zeros((steps, n), np.int8), np.ones((steps, n), np.float32)
-        open_ = np.flatnonzero(self._gain(e) > -1e-3)
+        open_ = np.flatnonzero(self._gain(e, padded) > -1e-3)
         if len(open_):
-            out[:, open_], sure[:, open_] = self._viterbi(e[:, :, open_])
+            out[:, open_], sure[:, open_] = self._viterbi(e[:, :, open_], real[:, open_], padded)
         return out, sure
 
-    def _gain(self, e: np.ndarray) -> np.ndarray:
-        """What any stretch off the outside tag can gain over it at most, with the best tag and the best transitions of
-        each place taken on their own: where that is below 0, the outside tag is best everywhere."""
-        trans = self.p["T"] - self.p["T"][0, 0]
-        start, stay, end = float(trans[0, 1:].max()), float(trans[1:, 1:].max()), float(trans[1:, 0].max())
-        d = e[:, 1:].max(1) - e[:, 0]
-        run = d[0].copy()
-        best = run + (end if len(d) > 1 else 0)
-        for t in range(1, len(d)):
-            run += stay
+    def _gain(self, e: np.ndarray, padded: int) -> np.ndarray:
+        """What any stretch off the outside tag can gain over it at most, with the best of the tags that begin spans, the best
+        of those that continue them and the best transitions between the two kinds: where that is below 0, the outside tag is
+        best everywhere. From `padded` on a text may end, after which it needs no way back."""
+        trans, steps = self.p["T"] - self.p["T"][0, 0], len(e)
+        kinds = [k for k in (slice(1, None, 2), slice(2, None, 2)) if e[0, k].size]
+        best_of = lambda to: np.array([trans[a, to].max() for a in (0, *kinds)], np.float32)
+        start, *by = zip(*(best_of(k) for k in kinds))
+        start, same, cross = np.array(start)[:, None], np.array([by[i][i] for i in range(len(kinds))])[:, None], np.array([by[len(kinds) - 1 - i][i] for i in range(len(kinds))])[:, None]
+        end = np.array([trans[k, 0].max() for k in kinds], np.float32)[:, None]
+        d = np.stack([e[:, k].max(1) for k in kinds], 1)
+        d -= e[:, :1]
+        run, part = d[0].copy(), np.empty_like(d[0])
+        free = np.maximum(end, 0)
+        best = run + (end if padded > 1 else free)
+        for t in range(1, steps):
+            np.add(run[::-1], cross, out=part)
+            run += same
+            np.maximum(run, part, out=run)
             np.maximum(run, start, out=run)
             run += d[t]
-            np.maximum(best, run + (end if t < len(d) - 1 else 0), out=best)
-        return best
+            np.add(run, end if t < padded - 1 else free, out=part)
+            np.maximum(best, part, out=best)
+        return best.max(0)
 
-    def _viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """e: (characters, tags, n)."""
+    def _viterbi(self, e: np.ndarray, real: np.ndarray, padded: int) -> tuple[np.ndarray, np.ndarray]:
+        """e: (characters, tags, n); real: which characters are no padding, of which there is none before `padded`."""
         steps, k, n = e.shape
         trans = self.p["T"]
         s, new, only = np.empty_like(e), np.empty((k, k, n), np.float32), e[0, 0].copy()
-        s[0] = e[0]
+        s[0], ways = e[0], np.ascontiguousarray(np.broadcast_to(trans[:, :, None], (k, k, n)))
         for t in range(1, steps):
-            np.add(s[t - 1][:, None], trans[:, :, None], out=new)
+            np.add(s[t - 1][:, None], ways, out=new)
             np.maximum.reduce(new, axis=0, out=s[t])
             s[t] += e[t]
-            only += trans[0, 0]
-            only += e[t, 0]
+            new_only = only + trans[0, 0] + e[t, 0]
+            if t >= padded:  # scores stay as they are where a text has ended
+                np.copyto(s[t], s[t - 1], where=~real[t])
+                np.copyto(new_only, only, where=~real[t])
+            only = new_only
         out, sure = np.zeros((steps, n), np.int8), np.ones((steps, n), np.float32)
         at = np.flatnonzero(s[-1].max(0) > only)  # elsewhere the path of outside tags is as good as any
         if len(at):
-            s, e, path = s[:, :, at], e[:, :, at], np.empty((steps, len(at)), np.int64)
-            path[-1] = s[-1].argmax(0)
+            # each text's scores lie together, as do those of the ways to a tag
+            s, e, path = np.ascontiguousarray(s[:, :, at].transpose(0, 2, 1)), e[:, :, at], np.empty((steps, len(at)), np.int64)
+            into, part = np.ascontiguousarray(trans.T), np.empty((len(at), k), np.float32)
+            s[-1].argmax(1, out=path[-1])
             for t in range(steps - 1, 0, -1):
-                path[t - 1] = (s[t - 1] + trans[:, path[t]]).argmax(0)
+                np.take(into, path[t], axis=0, out=part, mode="clip")
+                part += s[t - 1]
+                part.argmax(1, out=path[t - 1])
+                if t >= padded:
+                    np.copyto(path[t - 1], path[t], where=~real[t, at])
             p = np.exp(e - e.max(1, keepdims=True))
+            path[padded:] *= real[padded:, at]
             out[:, at], sure[:, at] = path, np.take_along_axis(p, path[:, None], 1)[:, 0] / p.sum(1)
         return out, sure
 
